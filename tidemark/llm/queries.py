@@ -26,7 +26,7 @@ def sha256(text: Column | str) -> Column:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
-    ids = F.translate(F.col("ids").cast("string"), "[],", "")
+    ids = F.btrim(F.replace(F.col("ids").cast("string"), F.lit(", "), F.lit(" ")), F.lit("[]"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256(ids).alias("ids_sha256"), sha256("decoded").alias("decoded_sha256"))
 
 
