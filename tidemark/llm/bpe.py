@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ class Store:
 
 
 class Encoder:
-    def __init__(self, path: str, words: int = 300_000, chunks: int = 4_000):
+    def __init__(self, path: str, words: int = 500_000, chunks: int = 4_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,7 +65,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(n)]
+        self.pieces = pa.array([self.tokenizer.id_to_token(i) or "" for i in range(n)], pa.string())
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.single_word or t.lstrip or t.rstrip or t.normalized) and len(t.content) > 2]
         self.between_id, self.between = special[0] if special else (None, None)
         # a word with the special token's first or last character may run together with it
@@ -72,8 +73,12 @@ class Encoder:
         self.words, self.chunks = Store(words), Store(chunks)
         self.reused = self.fresh = 0
 
-    def coded(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return np.array(ids, np.int32).tobytes(), b" ".join([self.pieces[i] for i in ids])
+    def coded(self, ids: list[int]) -> bytes:
+        return np.array(ids, np.int32).tobytes()
+
+    def decoded(self, lists: pa.ListArray) -> pa.Array:
+        """What the tokenizer's decode gives: it has no decoder, so pieces are joined by a space."""
+        return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, self.pieces.take(lists.values)), " ")
 
     def learn(self, new: set[bytes]) -> dict:
         """Encode words that the store hasn't got; all of them, also if the store can't hold them."""
@@ -96,24 +101,21 @@ class Encoder:
             self.words.put(w, v)
         return out
 
-    def inner(self, parts: list[list[bytes]]) -> list[tuple[bytes, bytes]]:
-        """Ids and decoded bytes of lists of words."""
-        ids, shown, missing = {}, {}, set()
+    def inner(self, parts: list[list[bytes]]) -> list[bytes]:
+        """Ids, as bytes, of lists of words."""
+        ids, missing = {}, set()
         for w in set(chain.from_iterable(parts)):
             v = self.words.get(w)
             if v is None:
                 missing.add(w)
             else:
-                ids[w], shown[w] = v
-        for w, v in self.learn(missing).items():
-            ids[w], shown[w] = v
-        one, other = ids.__getitem__, shown.__getitem__
-        if all(shown.values()):
-            return [(b"".join(map(one, ws)), b" ".join(map(other, ws))) for ws in parts]
-        return [(b"".join(map(one, ws)), b" ".join(filter(None, map(other, ws)))) for ws in parts]
-
-    def block(self, raw: bytes, chunks: list[list[tuple[int, int]]]) -> list[tuple[bytes, bytes]]:
-        """Ids and decoded bytes of texts given as lists of chunk ranges."""
+                ids[w] = v
+        ids.update(self.learn(missing))
+        one = ids.__getitem__
+        return [b"".join(map(one, ws)) for ws in parts]
+
+    def block(self, raw: bytes, chunks: list[list[tuple[int, int]]]) -> list[bytes]:
+        """Ids, as bytes, of texts given as lists of chunk ranges."""
         plan, fresh = [], {}
         for ranges in chunks:
             own, glue = [], b""
@@ -132,28 +134,20 @@ class Encoder:
                     continue
                 join = glue + entry[0]
                 if join:
-                    own.append(join.split())
-                own.append(entry)
+                    own.append((False, join.split()))
+                own.append((True, entry))
                 glue = entry[1]
             if glue:
-                own.append(glue.split())
+                own.append((False, glue.split()))
             plan.append(own)
         for entry, coded in zip(new := [e for e in fresh.values() if e[2]], self.inner([e[2] for e in new]), strict=True):
             entry[2] = coded
         for piece, entry in fresh.items():
             if isinstance(entry[2], list):
-                entry[2] = (b"", b"")
+                entry[2] = b""
             self.chunks.put(piece, entry)
-        joins = iter(self.inner([x for own in plan for x in own if not x or isinstance(x[0], bytes) and not _is_entry(x)]))
-        out = []
-        for own in plan:
-            got = [x[2] if _is_entry(x) else next(joins) for x in own]
-            out.append((b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[1]])))
-        return out
-
-
-def _is_entry(x) -> bool:
-    return len(x) == 3 and not isinstance(x[2], bytes)
+        joins = iter(self.inner([x for own in plan for whole, x in own if not whole]))
+        return [b"".join([x[2] if whole else next(joins) for whole, x in own]) for own in plan]
 
 
 def _white(piece: bytes) -> tuple[int, int] | None:
@@ -207,10 +201,9 @@ def _texts(path: str, block: int):
             for a, z in W.blocks(offs, block):
                 own, o = data[offs[a] : offs[z]], offs[a : z + 1] - offs[a]
                 coded = e.block(own.tobytes(), cuts(own, o))
-                ids = np.frombuffer(b"".join([c[0] for c in coded]), np.int32)
-                at = np.concatenate([[0], np.cumsum([len(c[0]) // 4 for c in coded])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), lists, pa.array([c[1] for c in coded], pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
+                at = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), lists, e.decoded(lists)], ["doc_id", "ids", "decoded"])
 
     return run
 
