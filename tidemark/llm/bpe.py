@@ -57,7 +57,7 @@ class Store:
 
 
 class Encoder:
-    def __init__(self, path: str, words: int = 500_000, chunks: int = 4_000):
+    def __init__(self, path: str, words: int = 200_000, chunks: int = 2_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -194,6 +194,7 @@ def encoder(path: str) -> Encoder:
 
 
 def _texts(path: str, block: int):
+    @W.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in batches:

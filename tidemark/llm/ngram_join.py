@@ -64,6 +64,7 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@W.released
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = W.buffers(batch.column(2))
@@ -80,6 +81,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(depth: int):
+    @W.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -143,6 +145,7 @@ def _spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
+@W.released
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (comp, bi, bj): each pair of blocks in turn; links counted, a spanning forest kept."""
     held, key = [], None
@@ -187,6 +190,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+@W.released
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, a text, becomes its shingle set; the others pass through."""
     for batch in batches:

@@ -102,7 +102,9 @@ def _measured(column: pa.Array) -> pa.Array:
     data, offs = W.buffers(column)
     parts = [measure(data[offs[a] : offs[z]], offs[a : z + 1] - offs[a]) for a, z in W.blocks(offs)]
     fields = [pa.array(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0), pa.int64()) for k in NAMES]
-    return pa.StructArray.from_arrays(fields, NAMES)
+    out = pa.StructArray.from_arrays(fields, NAMES)
+    W.release()
+    return out
 
 
 def measures(text: Column) -> Column:
