@@ -11,7 +11,7 @@ aggregated before the shuffle and the host is only part of their key.
 
 A subtree is template if it stands on ``least`` pages or more and on at least ``share`` of the host's
 pages; inside an article or main element, where pages of one host may rightly quote the same passage,
-on ``article_share`` of them.
+on ``article_share`` of them. Only block elements are deleted: a word in bold may recur anywhere.
 
 Edge cases: a null or empty page gives an empty text; a null url is a host of its own, named null; null
 page ids and repeated rows are pages like others; further columns don't matter.
@@ -159,12 +159,12 @@ class Page:
                     while i > 0 and i not in full:
                         full.add(i)
                         i = self.parent[i]
-        return {(self.hash[i], self.article[self.parent[i]]) for i in full if self.tags[i] not in ("html", "body")}
+        return {(self.hash[i], self.article[self.parent[i]]) for i in full if self.tags[i] in _BLOCK and self.tags[i] not in ("html", "body")}
 
     def text(self, gone: set[int] = frozenset()) -> str:
         dead = [False] * len(self.parent)
         for i in range(1, len(dead)):
-            dead[i] = dead[self.parent[i]] or self.out[i] or self.hash[i] in gone
+            dead[i] = dead[self.parent[i]] or self.out[i] or self.tags[i] in _BLOCK and self.hash[i] in gone
         only = any(a and not dead[i] for i, a in enumerate(self.article))
         out = []
         for parts, _ in self.blocks:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.links import components
-from tidemark.llm.shared import cut, text_of, width
+from tidemark.llm.shared import cut, fields_of, row_of, text_of, width
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -248,10 +248,8 @@ def classes(docs: DataFrame, recall: float = 0.9995) -> DataFrame:
 def deduplicated(docs: DataFrame, recall: float = 0.9995) -> DataFrame:
     """One document of each class: the one with the least doc_id. Rows with a null doc_id all stay;
     of repeated rows with one doc_id one stays."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    key = F.unhex(F.md5(text_of()))
-    out = classes(docs, recall).where("doc_id = class_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     # of a class's equal texts with the least doc_id there may be several rows, and of its other texts with that doc_id
-    least = out.groupBy("_id").agg(F.min("_key").alias("_key"))
-    kept = docs.join(least, (docs["doc_id"] == F.col("_id")) & (key == F.col("_key")), "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*names).unionByName(docs.where("doc_id is null"))
+    least = classes(docs, recall).where("doc_id = class_id").groupBy("doc_id").agg(F.min("text_key").alias("text_key"))
+    rows = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text_of())).alias("text_key"))
+    kept = rows.where("doc_id is not null").join(least, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return kept.select(*fields_of(docs)).unionByName(docs.where("doc_id is null"))

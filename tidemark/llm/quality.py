@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, fields_of, row_of
 
 SHAPE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_bangs long"
 NAMES = [x.split()[0] for x in SHAPE.split(", ")]
@@ -214,7 +214,6 @@ def judged(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their columns as they are; no text is shuffled."""
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*kept, _stratum().alias("stratum"), measures(F.col("text")).alias("m"))
+    rows = docs.select(row_of(docs), F.col("doc_id").alias("doc_id"), _stratum().alias("stratum"), measures(F.col("text")).alias("m"))
     cutoffs = calibrate(rows.select("doc_id", "stratum", "m"), labels, **risk)
-    return rows.where(~base_failed() & (F.size(failed_rules(cutoffs)) == 0)).select(*kept)
+    return rows.where(~base_failed() & (F.size(failed_rules(cutoffs)) == 0)).select(*fields_of(docs))

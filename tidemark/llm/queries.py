@@ -31,8 +31,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.scheduled(table(spark, sf_dir, "documents").select("doc_id", "source"))
-    return out.select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_place").alias("place"))
+    return mixing.scheduled(table(spark, sf_dir, "documents"))
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, text_of
+from tidemark.llm.shared import cut, row_of, text_of
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
@@ -137,27 +137,21 @@ def secrets(docs: DataFrame, **how) -> DataFrame:
 def redacted(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with every live-looking span, base or further, replaced by ``[SECRET]``; ``n_chars``, if
     there, follows. Rows without candidates are not shuffled; copied examples stay."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
     _, by_key = verdicts(docs, **how)
     some = F.size(candidates(text_of())) > 0
-    row = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    hit = docs.where(some).withColumn("_key", F.md5(F.concat(row, F.lit(":"), text_of())))
-    joined = hit.join(by_key.select(F.col("key").alias("_key"), "live").withColumnRenamed("live", "_live"), "_key", "left")
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    hit = docs.where(some).select(row_of(docs), F.col("text").alias("text"), F.md5(F.concat(own, F.lit(":"), text_of())).alias("key"))
+    joined = hit.join(by_key.select("key", "live"), "key", "left")
 
     def step(acc: Column, x: Column) -> Column:
-        fresh = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(MASK))).otherwise(acc["out"])
+        between = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
+        fresh = F.when(x["start"] >= acc["at"], F.concat(acc["out"], between, F.lit(MASK))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), fresh.alias("out"))
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(F.col("_live"), start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length(F.col("text")))))
-    masked = F.when(F.size("_live") > 0, done).otherwise(F.col("text"))
-    out = joined.withColumn("_text", masked)
-    cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(F.col("_text").alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(F.size("_live") > 0, F.length("_text")).otherwise(F.col("n_chars")).cast(docs.schema[c].dataType).alias(c))
-        else:
-            cols.append(F.col(f"`{c}`"))
-    return docs.where(~some).select(*names).unionByName(out.select(*cols))
+    done = F.aggregate(F.col("live"), start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length(F.col("text")))))
+    out = joined.withColumn("masked", F.when(F.size("live") > 0, done).otherwise(F.col("text")))
+    changed = {"text": F.col("masked").alias("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size("live") > 0, F.length("masked")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return docs.where(~some).unionByName(out.select(*[changed.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns]))

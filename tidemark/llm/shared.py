@@ -36,3 +36,12 @@ def width(spark: SparkSession) -> int:
 
 def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def row_of(df: DataFrame):
+    """A row's columns as one, so that names of its columns can't meet names of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def fields_of(df: DataFrame, row: str = "row") -> list:
+    return [F.col(f"{row}.`{c}`").alias(c) for c in df.columns]
