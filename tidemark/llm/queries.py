@@ -77,4 +77,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_mixing, op3_html, op4_token_counts, op5_substring_dedup, op6_ngram_join, op7_fingerprints, op8_secrets, op9_licenses, op10_quality)}
-SQL: dict[str, str] = {}
+
+
+def _secrets_sql() -> str:
+    """The same scan in SQL: pieces between matches and the matches themselves give the positions."""
+    plain = lambda p: p.replace("*+", "*").replace("++", "+").replace("}+", "}").replace("'", "''")  # noqa: E731  no possessive forms there
+    more = plain("|".join(f"(?:{p})" for p in secrets.MORE.values()))
+
+    def part(pattern: str, no: str, kind: str, group: int, least: int) -> str:
+        return f"""SELECT rid, {no} AS kind_no, {kind} AS kind, value, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s, length(hit) AS n
+FROM (SELECT rid, gaps, hits, unnest(hits) AS hit, unnest(vals) AS value, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT rid, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 0) AS hits, regexp_extract_all(t, '{pattern}', {group}) AS vals FROM docs WHERE regexp_matches(t, '{pattern}'))) WHERE length(value) >= {least}"""
+
+    which = "CASE " + " ".join(f"WHEN regexp_matches(hit, '^(?:{plain(p)})') THEN {{{k}}}" for k, p in enumerate(secrets.MORE.values())) + " END"
+    numbers, names = which, which
+    for k, name in enumerate(secrets.MORE):
+        numbers, names = numbers.replace(f"{{{k}}} ", f"{k + 3} "), names.replace(f"{{{k}}} ", f"'{name}' ")
+    parts = [part(plain(secrets.ASSIGN), "0", "'assign'", 1, 8), part(plain(secrets.ACCESS), "1", "'access'", 0, 0), part(plain(secrets.HEX), "2", "'hex'", 0, 0), part(more, numbers, names, 0, 0)]
+    return f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(parts)}),
+owners AS (SELECT value, count(DISTINCT coalesce('=' || source, 'null')) AS n_owners FROM found JOIN docs USING (rid) GROUP BY value),
+listed AS (SELECT rid, kind_no, kind || ':' || s || ':' || (s + n) AS span, s, s + n AS e, n_owners < {secrets.MANY_OWNERS} AS live FROM found JOIN owners USING (value)),
+by_row AS (SELECT rid, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex,
+string_agg(span, ',' ORDER BY s, kind_no, e) FILTER (kind_no < 3) AS base, string_agg(span, ',' ORDER BY s, kind_no, e) FILTER (kind_no < 3 OR live) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM listed GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM docs LEFT JOIN by_row USING (rid)"""
+
+
+SQL: dict[str, str] = {
+    "op5_substring_dedup": r"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT rid, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) > 12)),
+m AS (SELECT k, min(doc_id) AS d FROM g GROUP BY k),
+p AS (SELECT rid, list(DISTINCT i + j) AS ps FROM (SELECT rid, i FROM g JOIN m USING (k) WHERE doc_id > d), range(13) AS t(j) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(coalesce(array_to_string(list_filter(ws, lambda x, n: NOT list_contains(coalesce(ps, []), n)), ' '), '')) AS kept_sha256 FROM w LEFT JOIN p USING (rid)""",
+    "op8_secrets": _secrets_sql(),
+}

@@ -33,8 +33,8 @@ MORE = {
     "chat": r"xox[abprs]-[A-Za-z0-9-]{10,}",
     "payment": r"[sr]k_live_[A-Za-z0-9]{16,}",
     "cloud": r"AIza[0-9A-Za-z_-]{35}",
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}",
-    "url_login": r"://[^\s:/@]{1,64}:[^\s:/@]{1,64}@",
+    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\t\n\f\r ]*",
+    "url_login": r"://[^\t\n\f\r :/@]{1,64}:[^\t\n\f\r :/@]{1,64}@",
 }
 KINDS = ["assign", "access", "hex", *MORE]
 MANY_OWNERS = 3
