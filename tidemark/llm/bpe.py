@@ -57,7 +57,7 @@ class Store:
 
 
 class Encoder:
-    def __init__(self, path: str, words: int = 200_000, chunks: int = 2_000):
+    def __init__(self, path: str, words: int = 400_000, chunks: int = 2_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -209,7 +209,7 @@ def _texts(path: str, block: int):
     return run
 
 
-def encoded(docs: DataFrame, path: str, block: int = 4 * W.BLOCK_BYTES) -> DataFrame:
+def encoded(docs: DataFrame, path: str, block: int = 8 * W.BLOCK_BYTES) -> DataFrame:
     """doc_id, ids and decoded (the text that decoding the ids gives) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text")).mapInArrow(_texts(path, block), f"doc_id {kind}, ids array<int>, decoded string")
