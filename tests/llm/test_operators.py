@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -222,6 +223,19 @@ def test_ngram_join_over_several_blocks(spark, monkeypatch):
     assert got == plain_classes(table)
 
 
+def test_ngram_join_ties_among_strangers(spark, monkeypatch):
+    """Two nodes whose one shared bucket has strangers at both ends are still tied."""
+    monkeypatch.setattr(ngram_join, "TREES", 1)
+    rng = np.random.default_rng(5)
+    sigs = rng.integers(0, 1 << 32, (4, ngram_join.HASHES), dtype=np.uint32)
+    sigs[2] = sigs[1]
+    sigs[2, ngram_join._ORDER[0][6:9]] = 1
+    sigs[:, ngram_join._ORDER[0][:6]] = 7
+    table = [(i, s.tobytes()) for i, s in zip((10, 20, 30, 40), sigs, strict=True)]
+    got = ngram_join._ties(spark.createDataFrame(table, "node long, sig binary"), 6, 0.9995).collect()
+    assert [tuple(r) for r in got] == [(20, 30)]
+
+
 def test_fingerprints(spark, docs, none):
     named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     got = {r.doc_id: r for r in fingerprints.edited(named).collect()}

@@ -6,6 +6,7 @@ tree is the sorted trie of its labels. The depth at which prefixes are matched s
 and is shortened until the trees together reach the target recall for pairs at the threshold
 (``depth_for``). Nodes that share a prefix are tied to the least and the greatest member of it, ties
 whose signatures can't reach the threshold fall away, and what hangs together is a candidate group.
+Where ties fall away the nodes around them are hung again by longer prefixes (``_ties``).
 Within each group all pairs are verified exactly, in blocks of bounded size: a task holds two blocks,
 and only counts and a spanning forest of the verified links leave it, never the pairs.
 
@@ -19,6 +20,7 @@ doc_id stands alone: class_id null, n_links 0. Repeated rows are copies. Other c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +38,16 @@ THRESHOLD = 0.8
 HASHES = 64
 TREES = 32
 LONGEST = 12
+MOST_TREES = 128
+_ALIKE = THRESHOLD - 0.2  # by signatures: four standard errors below the threshold
+_CLOSE = _ALIKE + (1 - THRESHOLD) + 0.1  # a linked partner of what isn't alike is below this
 BLOCK_SHINGLES = 400_000
 BLOCK_NODES = 1024
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_ORDER = np.array([_rng.permutation(HASHES)[:LONGEST] for _ in range(TREES)])
+_ORDER = np.array([_rng.permutation(HASHES)[:LONGEST] for _ in range(MOST_TREES)])
 
 
 def depth_for(recall: float, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST) -> int:
@@ -53,6 +58,11 @@ def depth_for(recall: float, threshold: float = THRESHOLD, trees: int = TREES, l
     return 1
 
 
+def trees_for(depth: int, recall: float, threshold: float = THRESHOLD) -> int:
+    """Trees that bring a pair at the threshold together at this depth with this probability."""
+    return min(MOST_TREES, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
+
+
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     """MinHash values, a row for each non-empty set."""
     lens = np.array([len(s) for s in sets])
@@ -80,14 +90,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _prefixes(depth: int):
+def _prefixes(depth: int, trees: int):
     @W.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
-            for t in range(TREES):
+            for t in range(trees):
                 acc = np.full(len(sig), t + 1, np.uint64)
                 for j in _ORDER[t][:depth]:
                     acc = W.mix(acc * W.STEP + sig[:, j])
@@ -206,6 +216,33 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text_of())).alias("text_key"), text_of().alias("text"))
 
 
+def _ties(sig: DataFrame, depth: int, recall: float) -> DataFrame:
+    """(a, b), a < b: ties of the nodes of ``sig`` (node, sig) to ends of the buckets that share a prefix.
+
+    A tie that falls away may have been the one that held a linked pair together. If x and y are within
+    the threshold and y is not alike an end, then x is no nearer to that end than ``_CLOSE`` (Jaccard
+    distance is a metric). So what is tied that loosely to a node with a lost tie is hung again by
+    longer prefixes, in more trees for the same recall, where few strangers share a bucket.
+    """
+    alike = F.arrow_udf(_alike, "double")
+    todo, trees, kept = sig, TREES, None
+    while True:
+        hung = todo.mapInArrow(_prefixes(depth, trees), "prefix long, node long")
+        ends = hung.groupBy("prefix").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+        ties = hung.join(ends, "prefix").select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node != other")
+        ties = ties.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        ties = cut(ties.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", alike("sa", "sb").alias("alike")))
+        held, lost = (ties.where(w).select("a", "b") for w in (F.col("alike") >= _ALIKE, F.col("alike") < _ALIKE))
+        kept = held if kept is None else kept.union(held)
+        depth += 2
+        if depth > LONGEST or lost.isEmpty():
+            return kept.distinct()
+        lost = lost.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+        loose = ties.where(F.col("alike") < _CLOSE).select(F.explode(F.array(F.struct(F.col("a").alias("end"), F.col("b").alias("node")), F.struct(F.col("b").alias("end"), F.col("a").alias("node")))).alias("t")).select("t.*")
+        again = loose.join(lost, "end", "left_semi").select("node").union(lost.select("end")).distinct()
+        todo, trees = sig.join(again, "node", "left_semi"), trees_for(depth, recall)
+
+
 def classes(docs: DataFrame, recall: float = 0.9995) -> DataFrame:
     """(doc_id, text_key, class_id, n_links) for every row of ``docs``."""
     spark, n = docs.sparkSession, width(docs.sparkSession)
@@ -215,13 +252,7 @@ def classes(docs: DataFrame, recall: float = 0.9995) -> DataFrame:
     nodes = texts.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("text_rep", "text_key")).alias("rep"), F.count("*").alias("n_texts"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     nodes = cut(nodes.select("set_key", F.col("rep.text_rep").alias("node"), F.col("rep.text_key").alias("text_key"), "n_texts", "n_shingles", "sig"))
 
-    hung = nodes.select("node", "sig").mapInArrow(_prefixes(depth_for(recall)), "prefix long, node long")
-    ends = hung.groupBy("prefix").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    ties = hung.join(ends, "prefix").select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node != other")
-    ties = ties.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    sig = nodes.select("node", "sig")
-    alike = F.arrow_udf(_alike, "double")
-    ties = ties.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").where(alike("sa", "sb") >= THRESHOLD - 0.2).select("a", "b")
+    ties = _ties(nodes.select("node", "sig"), depth_for(recall), recall)
     groups = cut(components(ties))
 
     member = groups.join(nodes.drop("sig", "set_key"), "node")
