@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm import bpe, fingerprints, html_text, licenses, mixing, ngram_join, quality, queries, secrets, substring_dedup, token_counts
+from tidemark.llm import bpe, fingerprints, html_text, licenses, links, mixing, ngram_join, quality, queries, secrets, substring_dedup, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, m string, row string, key string, _id long, cell int, stratum string, live string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -236,6 +236,25 @@ def test_ngram_join_ties_among_strangers(spark, monkeypatch):
     assert [tuple(r) for r in got] == [(20, 30)]
 
 
+def test_components_with_heavy_nodes(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(900), rng.randrange(900)) for _ in range(600)] + [(5000, k) for k in range(5001, 6500)] + [(k, k + 1) for k in range(9000, 9040)] + [(5, 5), (6000, 9010)]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            p, q = top(a), top(b)
+            up[max(p, q)] = min(p, q)
+    table = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.component for r in links.components(table).collect()} == {x: top(x) for x in up}
+    assert links.components(table.where("false")).count() == 0
+
+
 def test_fingerprints(spark, docs, none):
     named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     got = {r.doc_id: r for r in fingerprints.edited(named).collect()}

@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import cut
 
 
-def _toward_min(both: DataFrame) -> DataFrame:
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u")
+#: A node is heavy with over this share of the edges; so at most 2 / HEAVY_SHARE nodes are, however many edges there are.
+HEAVY_SHARE = 1 / 1000
+
+
+def _toward_min(both: DataFrame, edges: int) -> DataFrame:
+    """(u, v, m): every row of ``both`` (at most twice ``edges``) with the least of u and its neighbours.
+    Rows of heavy nodes stay where they are and get theirs from a broadcast, whose rows the share bounds."""
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), (F.col("d") > edges * HEAVY_SHARE).alias("heavy"))
+    marked = both.join(F.broadcast(least.where("heavy").select("u", F.col("m").alias("hm"))), "u", "left")
+    light = marked.where("hm is null").select("u", "v").join(least.where("not heavy").select("u", "m"), "u")
+    return marked.where("hm is not null").select("u", "v", F.col("hm").alias("m")).union(light.select("u", "v", "m"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,16 +29,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Only a checksum of the edges reaches the driver.
     """
     e = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    seen = None
+    seen, edges = None, e.count()
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _toward_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        down = large.union(e.where("false"))
-        small = _toward_min(down)
-        out = small.select(F.col("v").alias("x"), "m").union(small.select(F.col("u").alias("x"), "m"))
+        large = _toward_min(both, edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        small = _toward_min(large, edges)
+        out = small.select(F.explode(F.array("u", "v")).alias("x"), "m")
         e = cut(out.where("x != m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
-        seen = now
+        seen, edges = now, now[0]
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
