@@ -118,6 +118,21 @@ def test_key_value_table(spark, tmp_path):
     assert [(r.kv_seq, r.kv_snapshot_version, r.id) for r in t.changes().orderBy("kv_seq").collect()] == [(1, 1, "000000"), (2, 1, "000001"), (3, 1, "000002"), (4, 2, "000001")]
 
 
+def test_key_value_table_opened_again(spark, tmp_path):
+    path, keyed = str(tmp_path / "kv"), lambda n: rows(spark, n).withColumn("key", F.format_string("%03d", "seq"))
+    first = S.KeyValueTable(spark, path, ["key"], ["seq"])
+    first.upsert(keyed(60), 0)
+    (tmp_path / "kv" / "snapshot" / "2e1").mkdir()  # a version that was never finished
+    keyed(9).select(F.lit(61).cast("long").alias("kv_seq"), F.lit("upsert").alias("kv_op"), F.lit(2).cast("long").alias("kv_snapshot_version"), "*").write.parquet(f"{path}/changelog/v=2")
+    again = S.KeyValueTable(spark, path, ["key"], ["seq"])
+    assert (again.version, again.epoch, again.next_seq) == (1, 0, 61) and again.changes().count() == 60
+    again.upsert(keyed(60), 0)
+    assert again.version == 1
+    again.upsert(keyed(70).where("seq >= 50"), 1)
+    assert again.snapshot().count() == 70 and again.version == 2
+    assert [(r.kv_seq, r.seq) for r in again.changes().orderBy("kv_seq").collect()] == [*((k + 1, k) for k in range(60)), *((k + 11, k) for k in range(50, 70))]
+
+
 def test_streams(spark, tmp_path):
     data = rows(spark)
     for k in range(2):

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,34 +132,68 @@ class KeyValueTable:
     """Latest row of each key with a changelog, over versioned folders.
 
     ``upsert`` takes one batch: it appends its changes to the changelog and writes the next snapshot.
-    The version is part of both paths, so a batch that is written again after a failure replaces itself.
+    A version counts once its snapshot is complete, and the folder's name tells the last epoch in it. So a
+    table opened again goes on from there: what an unfinished version left is replaced, and a batch of
+    a stream that comes again after a failure (its epoch is not past the last one) is skipped.
     """
 
     def __init__(self, spark: SparkSession, path: str, by: Sequence[str], order_by: Sequence[str]):
         self.spark, self.path, self.by, self.order_by = spark, path.rstrip("/"), list(by), list(order_by)
-        self.version, self.next_seq = 0, 1
+        self.version, self.epoch, self.next_seq = max(self._complete(), default=(0, -1)) + (1,)
+        if self.version:
+            self.next_seq = self._log(self.version).agg(F.max("kv_seq")).first()[0] + 1
 
-    def upsert(self, batch: DataFrame) -> None:
-        changes = latest(batch, self.by, self.order_by)
-        from pyspark.sql import Window
+    def _hadoop(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-        numbered = changes.withColumn("_n", F.row_number().over(Window.orderBy(*self.by))).select((F.col("_n") + self.next_seq - 1).cast("long").alias("kv_seq"), F.lit("upsert").alias("kv_op"), F.lit(self.version + 1).cast("long").alias("kv_snapshot_version"), *[F.col(f"`{c}`") for c in changes.columns])
-        numbered.write.mode("overwrite").parquet(f"{self.path}/changelog/v={self.version + 1}")
-        log = self.spark.read.parquet(f"{self.path}/changelog/v={self.version + 1}")
-        n = log.count()
+    def _complete(self) -> list[tuple[int, int]]:
+        fs, p = self._hadoop(f"{self.path}/snapshot")
+        found = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
+        done = [f.getName() for f in found if fs.exists(self._hadoop(f"{f}/_SUCCESS")[1])]
+        return [(int(v), int(e)) for v, _, e in (name.partition("e") for name in done)]
+
+    def _snapshot(self, version: int, epoch: int) -> str:
+        return f"{self.path}/snapshot/{version}e{epoch}"
+
+    def _log(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/changelog/v={version}")
+
+    def upsert(self, batch: DataFrame, epoch: int | None = None) -> None:
+        """``epoch`` numbers the batches of the one stream that feeds the table; other batches have none.
+
+        Changes are numbered by key without a task that sees them all: they are dealt by ranges of keys and
+        written, and only the number of rows of each range is summed up in one place.
+        """
+        if epoch is not None and epoch <= self.epoch:
+            return
+        changes, version, stage = latest(batch, self.by, self.order_by), self.version + 1, f"{self.path}/stage"
+        changes.repartitionByRange(*self.by).sortWithinPartitions(*self.by).withColumn("_at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(stage)
+        staged = self.spark.read.parquet(stage).withColumn("_range", F.shiftright("_at", 33))  # the id is the partition, then 33 bits of row
+        n = staged.count()
         if not n:
             return
-        rows = log.drop("kv_seq", "kv_op", "kv_snapshot_version")
-        old = self.spark.read.parquet(f"{self.path}/snapshot/{self.version}") if self.version else None
-        now = rows if old is None else rows.unionByName(old.join(rows.select(*self.by), self.by, "left_anti"))
-        now.write.mode("overwrite").parquet(f"{self.path}/snapshot/{self.version + 1}")
-        self.version, self.next_seq = self.version + 1, self.next_seq + n
+        sizes = staged.groupBy("_range").agg(F.count("*").alias("_n"))
+        before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        seq = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + self.next_seq
+        numbered = staged.join(F.broadcast(before), "_range").select(  # one row a partition
+            seq.cast("long").alias("kv_seq"), F.lit("upsert").alias("kv_op"), F.lit(version).cast("long").alias("kv_snapshot_version"), *[F.col(f"`{c}`") for c in changes.columns]
+        )
+        numbered.write.mode("overwrite").parquet(f"{self.path}/changelog/v={version}")
+        rows = self._log(version).drop("kv_seq", "kv_op", "kv_snapshot_version")
+        now = rows if not self.version else rows.unionByName(self.snapshot().join(rows.select(*self.by), self.by, "left_anti"))
+        epoch = self.epoch if epoch is None else epoch
+        now.write.mode("overwrite").parquet(self._snapshot(version, epoch))
+        self.version, self.epoch, self.next_seq = version, epoch, self.next_seq + n
+        fs, p = self._hadoop(stage)
+        fs.delete(p, True)
 
     def snapshot(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/snapshot/{self.version}")
+        return self.spark.read.parquet(self._snapshot(self.version, self.epoch))
 
     def changes(self) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.path}/changelog").parquet(f"{self.path}/changelog").drop("v")
+        log = self.spark.read.option("basePath", f"{self.path}/changelog").parquet(f"{self.path}/changelog")
+        return log.where(F.col("v") <= self.version).drop("v")
 
 
 def fan_out(df: DataFrame, *sinks) -> None:

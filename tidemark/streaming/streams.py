@@ -73,8 +73,8 @@ def stateful_mean(df: DataFrame, id_column: str, value: str, window: int, order_
 
 
 def upsert_stream(df: DataFrame, table, checkpoint: str) -> StreamingQuery:
-    """Feed a key-value table (``KeyValueTable``), one version for each micro-batch with rows."""
-    return df.writeStream.foreachBatch(lambda batch, epoch: table.upsert(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Feed a key-value table (``KeyValueTable``), one version for each micro-batch with rows; its only stream."""
+    return df.writeStream.foreachBatch(table.upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def persist_stream(df: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = ()) -> StreamingQuery:
