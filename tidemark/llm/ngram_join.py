@@ -35,11 +35,11 @@ from tidemark.llm.shared import cut, fields_of, row_of, text_of, width
 
 SHINGLE = 5
 THRESHOLD = 0.8
-HASHES = 64
+HASHES = 192
 TREES = 32
 LONGEST = 12
-MOST_TREES = 128
-_ALIKE = THRESHOLD - 0.2  # by signatures: four standard errors below the threshold
+MOST_TREES = 320
+_ALIKE = THRESHOLD - 0.2  # by signatures: some seven standard errors below the threshold
 _CLOSE = _ALIKE + (1 - THRESHOLD) + 0.1  # a linked partner of what isn't alike is below this
 BLOCK_SHINGLES = 400_000
 BLOCK_NODES = 1024
@@ -47,20 +47,53 @@ BLOCK_NODES = 1024
 _rng = np.random.Generator(np.random.PCG64(20))
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-_ORDER = np.array([_rng.permutation(HASHES)[:LONGEST] for _ in range(MOST_TREES)])
+
+
+def _orders() -> np.ndarray:
+    """Positions in the signature of each tree's label. The first ``HASHES // TREES`` positions of the
+    first ``TREES`` trees are no other such tree's; all else is drawn from the whole signature."""
+    out, own = np.array([_rng.permutation(HASHES) for _ in range(MOST_TREES)]), HASHES // TREES
+    for t, first in enumerate(_rng.permutation(HASHES)[: TREES * own].reshape(TREES, own)):
+        out[t] = np.concatenate([first, out[t][~np.isin(out[t], first)]])
+    return out[:, :LONGEST]
+
+
+_ORDER = _orders()
+_OWN = TREES, HASHES // TREES
+
+
+def missed(depth: int, trees: int, threshold: float = THRESHOLD) -> float:
+    """The chance that a pair at this similarity meets in none of the first ``trees`` trees at this depth.
+
+    Prefixes without a common position are independent. Others are drawn from one signature, so what a pair
+    misses depends on how many of its ``HASHES`` values agree: the mean over that binomial number.
+    """
+    if trees <= _OWN[0] and depth <= _OWN[1]:
+        return (1 - threshold**depth) ** trees
+    out = 0.0
+    for m in range(HASHES + 1):
+        p = math.exp(math.lgamma(HASHES + 1) - math.lgamma(m + 1) - math.lgamma(HASHES - m + 1) + m * math.log(threshold) + (HASHES - m) * math.log(1 - threshold))
+        out += p * (1 - math.comb(m, depth) / math.comb(HASHES, depth)) ** trees
+    return out
 
 
 def depth_for(recall: float, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST) -> int:
     """The longest prefix at which a pair at the threshold meets in some tree with this probability."""
     for depth in range(longest, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
+        if missed(depth, trees, threshold) <= 1 - recall:
             return depth
     return 1
 
 
 def trees_for(depth: int, recall: float, threshold: float = THRESHOLD) -> int:
     """Trees that bring a pair at the threshold together at this depth with this probability."""
-    return min(MOST_TREES, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
+    if missed(depth, MOST_TREES, threshold) > 1 - recall:
+        raise ValueError(f"{MOST_TREES} trees over {HASHES} MinHash values don't reach a recall of {recall} at depth {depth}")
+    low, high = 0, MOST_TREES
+    while high - low > 1:
+        half = (low + high) // 2
+        low, high = (low, half) if missed(depth, half, threshold) <= 1 - recall else (half, high)
+    return high
 
 
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -106,8 +139,15 @@ def _prefixes(depth: int, trees: int):
     return run
 
 
+def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The low byte of each MinHash value: enough to compare two signatures, strangers' bytes agree once in 256."""
+    for batch in batches:
+        low = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).astype(np.uint8).reshape(-1, HASHES)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in low], pa.binary())], ["node", "sig"])
+
+
 def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(-1, HASHES) for c in (a, b))
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, HASHES) for c in (a, b))
     return pa.array((x == y).mean(axis=1))
 
 
@@ -225,7 +265,9 @@ def _ties(sig: DataFrame, depth: int, recall: float) -> DataFrame:
     longer prefixes, in more trees for the same recall, where few strangers share a bucket.
     """
     alike = F.arrow_udf(_alike, "double")
-    todo, trees, kept = sig, TREES, None
+    recall = 1 - (1 - recall) / max(1, 1 + (LONGEST - depth) // 2)  # what all rounds miss adds up
+    whole, todo, trees, kept = sig, sig, TREES, None
+    sig = sig.mapInArrow(_low, "node long, sig binary")
     while True:
         hung = todo.mapInArrow(_prefixes(depth, trees), "prefix long, node long")
         ends = hung.groupBy("prefix").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
@@ -240,7 +282,7 @@ def _ties(sig: DataFrame, depth: int, recall: float) -> DataFrame:
         lost = lost.select(F.explode(F.array("a", "b")).alias("end")).distinct()
         loose = ties.where(F.col("alike") < _CLOSE).select(F.explode(F.array(F.struct(F.col("a").alias("end"), F.col("b").alias("node")), F.struct(F.col("b").alias("end"), F.col("a").alias("node")))).alias("t")).select("t.*")
         again = loose.join(lost, "end", "left_semi").select("node").union(lost.select("end")).distinct()
-        todo, trees = sig.join(again, "node", "left_semi"), trees_for(depth, recall)
+        todo, trees = whole.join(again, "node", "left_semi"), trees_for(depth, recall)
 
 
 def classes(docs: DataFrame, recall: float = 0.9995) -> DataFrame:
