@@ -236,6 +236,20 @@ def test_ngram_join_ties_among_strangers(spark, monkeypatch):
     assert [tuple(r) for r in got] == [(20, 30)]
 
 
+@pytest.mark.parametrize("block", [2, 1024])
+def test_ngram_join_ties_when_no_longer_prefix_is_left(spark, monkeypatch, block):
+    """Linked nodes between strangers are tied by comparison, in one block or many."""
+    for name, value in (("TREES", 1), ("LONGEST", 6), ("BLOCK_NODES", block), ("PAIRS_A_NODE", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = np.random.default_rng(6)
+    sigs = rng.integers(0, 1 << 32, (40, ngram_join.HASHES), dtype=np.uint32)
+    sigs[20:30] = sigs[10:20]
+    sigs[:, ngram_join._ORDER[0][:6]] = 7
+    table = [(i, s.tobytes()) for i, s in enumerate(sigs)]
+    got = ngram_join._ties(spark.createDataFrame(table, "node long, sig binary"), 6, 0.9995).collect()
+    assert sorted(tuple(r) for r in got) == [(i, i + 10) for i in range(10, 20)]
+
+
 def test_ngram_join_trees_meet_the_recall():
     """Pairs at the threshold, by the positions that the trees really use; all rounds together miss 0.05 % at most."""
     rng, n, rounds = np.random.default_rng(3), 60_000, []

@@ -6,7 +6,8 @@ tree is the sorted trie of its labels. The depth at which prefixes are matched s
 and is shortened until the trees together reach the target recall for pairs at the threshold
 (``depth_for``). Nodes that share a prefix are tied to the least and the greatest member of it, ties
 whose signatures can't reach the threshold fall away, and what hangs together is a candidate group.
-Where ties fall away the nodes around them are hung again by longer prefixes (``_ties``).
+Where ties fall away the nodes around them are hung again by longer prefixes, and in the end the members
+of buckets that still lose ties are compared with each other, all with all, in blocks (``_ties``).
 Within each group all pairs are verified exactly, in blocks of bounded size: a task holds two blocks,
 and only counts and a spanning forest of the verified links leave it, never the pairs.
 
@@ -43,6 +44,7 @@ _ALIKE = THRESHOLD - 0.2  # by signatures: some seven standard errors below the
 _CLOSE = _ALIKE + (1 - THRESHOLD) + 0.1  # a linked partner of what isn't alike is below this
 BLOCK_SHINGLES = 400_000
 BLOCK_NODES = 1024
+PAIRS_A_NODE = 256  # with fewer pairs than that to a node of the table, buckets are compared rather than hung again
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -262,29 +264,101 @@ def _ties(sig: DataFrame, depth: int, recall: float) -> DataFrame:
     A tie that falls away may have been the one that held a linked pair together. If x and y are within
     the threshold and y is not alike an end, then x is no nearer to that end than ``_CLOSE`` (Jaccard
     distance is a metric). So what is tied that loosely to a node with a lost tie is hung again by
-    longer prefixes, in more trees for the same recall, where few strangers share a bucket.
+    longer prefixes, in more trees for the same recall, where few strangers share a bucket. When no
+    longer prefix is left, or the buckets that lose ties have become small, their members are compared.
     """
     alike = F.arrow_udf(_alike, "double")
     recall = 1 - (1 - recall) / max(1, 1 + (LONGEST - depth) // 2)  # what all rounds miss adds up
     whole, todo, trees, kept = sig, sig, TREES, None
     sig = sig.mapInArrow(_low, "node long, sig binary")
+    n = sig.count()
     while True:
         hung = todo.mapInArrow(_prefixes(depth, trees), "prefix long, node long")
-        ends = hung.groupBy("prefix").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-        ties = hung.join(ends, "prefix").select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node != other")
-        ties = ties.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        ends = hung.groupBy("prefix").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        tied = hung.join(ends, "prefix").select("prefix", "n", "node", F.explode(F.array("lo", "hi")).alias("other")).where("node != other")
+        tied = tied.select("prefix", "n", F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        ties = tied.select("a", "b").distinct()
         ties = cut(ties.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", alike("sa", "sb").alias("alike")))
         held, lost = (ties.where(w).select("a", "b") for w in (F.col("alike") >= _ALIKE, F.col("alike") < _ALIKE))
         kept = held if kept is None else kept.union(held)
-        depth += 2
-        if depth > LONGEST or lost.isEmpty():
+        if lost.isEmpty():
             return kept.distinct()
+        mixed = cut(tied.join(lost, ["a", "b"], "left_semi").select("prefix", "n").distinct())
+        pairs = mixed.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0]
+        depth += 2
+        if depth > LONGEST or pairs <= PAIRS_A_NODE * n:
+            return kept.union(_compared(hung.join(mixed, "prefix"), sig)).distinct()
         lost = lost.select(F.explode(F.array("a", "b")).alias("end")).distinct()
         loose = ties.where(F.col("alike") < _CLOSE).select(F.explode(F.array(F.struct(F.col("a").alias("end"), F.col("b").alias("node")), F.struct(F.col("b").alias("end"), F.col("a").alias("node")))).alias("t")).select("t.*")
         again = loose.join(lost, "end", "left_semi").select("node").union(lost.select("end")).distinct()
         todo, trees = whole.join(again, "node", "left_semi"), trees_for(depth, recall)
 
 
+def _compared(members: DataFrame, sig: DataFrame) -> DataFrame:
+    """(a, b), a < b: a spanning forest of the alike pairs among the members (prefix, n, node) of each bucket.
+
+    A bucket is dealt into blocks of ``BLOCK_NODES``, and a task compares two blocks, so all pairs are seen
+    however large the bucket is, and only the forest leaves a task.
+    """
+    sides = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK_NODES).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = sides.join(sig, "node").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "prefix", F.least("side", "o").alias("bi"), F.greatest("side", "o").alias("bj"), "side", "node", "sig"
+    )
+    n = width(sig.sparkSession)
+    return dealt.repartition(n, "prefix", "bi", "bj").sortWithinPartitions("prefix", "bi", "bj", "node").mapInArrow(_resembling, "a long, b long")
+
+
+def _alike_pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of all left with all right signatures (low bytes) are alike."""
+    same = np.zeros((len(left), len(right)), np.uint8)
+    for x, y in zip(np.ascontiguousarray(left.T), np.ascontiguousarray(right.T), strict=True):
+        same += x[:, None] == y[None, :]
+    return same >= math.ceil(_ALIKE * HASHES - 1e-9)
+
+
+@W.released
+def _resembling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (prefix, bi, bj, node): each pair of blocks in turn, a spanning forest of its alike pairs."""
+    held, key = [], None
+    ends: list[tuple[int, int]] = []
+
+    def done():
+        side, node = (np.array(x) for x in list(zip(*held, strict=True))[:2])
+        low = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(-1, HASHES)
+        left, right = np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
+        near, fresh = np.zeros((len(held), len(held)), bool), np.ones(len(held), bool)
+        near[np.ix_(left, right)] = _alike_pairs(low[left], low[right])
+        near |= near.T
+        for first in range(len(held)):
+            todo = [first] if fresh[first] else []
+            fresh[first] = False
+            while todo:
+                i = todo.pop()
+                more = np.flatnonzero(near[i] & fresh).tolist()
+                fresh[more] = False
+                todo += more
+                ends.extend((min(node[i], node[j]), max(node[i], node[j])) for j in more)
+
+    def out():
+        rows = pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in range(2)], ["a", "b"])
+        ends.clear()
+        return rows
+
+    for batch in batches:
+        for prefix, bi, bj, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if (prefix, bi, bj) != key:
+                if len(held) > 1:
+                    done()
+                held, key = [], (prefix, bi, bj)
+            held.append(row)
+        if ends:
+            yield out()
+    if len(held) > 1:
+        done()
+    if ends:
+        yield out()
+
+
 def classes(docs: DataFrame, recall: float = 0.9995) -> DataFrame:
     """(doc_id, text_key, class_id, n_links) for every row of ``docs``."""
     spark, n = docs.sparkSession, width(docs.sparkSession)
