@@ -355,6 +355,34 @@ def test_license_rules(text, labels):
     assert licenses.scan(text.encode())[2] == labels
 
 
+def spelled(tree):
+    """All strings that a parsed regex of literals, sets, branches and optional parts matches."""
+    out = [""]
+    for op, value in tree:
+        match str(op):
+            case "LITERAL":
+                own = [chr(value)]
+            case "IN":
+                own = [chr(c) for o, v in value for c in (range(v[0], v[1] + 1) if str(o) == "RANGE" else [v])]
+            case "BRANCH":
+                own = [x for b in value[1] for x in spelled(b)]
+            case "SUBPATTERN":
+                own = spelled(value[3])
+            case "MAX_REPEAT":
+                assert value[:2] == (0, 1)
+                own = ["", *spelled(value[2])]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_license_prefilters_pass_every_name_and_identifier():
+    for label, (names, _, identifiers) in licenses.LICENSES.items():
+        texts = spelled(re._parser.parse(names)) + [f"spdx license identifier {x}" for x in spelled(re._parser.parse(identifiers))]
+        for t in texts:
+            assert licenses._with_leads(t.encode(), np.array([0, len(t)])).all() and licenses.detections(f" {t} ".encode()), (label, t)
+    assert licenses.scan(b"Released under the ASL 2.0")[2] == {"apache"}
+
+
 def test_quality_measures(spark, docs, none):
     for r in docs.select("text", quality.measures(F.col("text")).alias("m")).collect():
         t, w = r.text or "", words(r.text)

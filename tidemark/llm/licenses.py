@@ -113,7 +113,7 @@ WORDINGS: list[tuple[str, str, int]] = [
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 _WORD = np.array([c != 32 for c in _TABLE])
 #: stems of which a text must have one before any regex is tried
-_STEMS = re.compile(rb"licen[sc]e|spdx|cc by|cc0|gpl|gfdl|mpl|epl|eupl|cddl|wtfpl|sspl|odbl|ms pl|ms rl|creative commons|public domain|all rights reserved|proprietary and|same terms as perl|bsd [234] clause")
+_STEMS = re.compile(rb"licen[sc]e|spdx|cc by|cc0|gpl|gfdl|mpl|epl|eupl|cddl|wtfpl|sspl|odbl|ms pl|ms rl|creative commons|public domain|all rights reserved|proprietary and|same terms as perl|bsd [234] clause| asl ")
 
 
 def signatures() -> list[tuple[str, int, bytes, re.Pattern]]:
@@ -168,7 +168,7 @@ def scan(raw: bytes) -> tuple[list[int], set[str], set[str], float]:
 
 
 #: one of these stands in every text that has a detection or a base phrase
-_LEADS = [b"licen", b"spdx", b"cc ", b"cc0", b"gpl", b"gfdl", b"mpl", b"epl", b"eupl", b"cddl", b"wtfpl", b"sspl", b"odbl", b"ms ", b"creative", b"domain", b"reserved", b"proprietary", b"perl", b"bsd"]
+_LEADS = [b"licen", b"spdx", b"cc ", b"cc0", b"gpl", b"gfdl", b"mpl", b"epl", b"eupl", b"cddl", b"wtfpl", b"sspl", b"odbl", b"ms ", b"creative", b"domain", b"reserved", b"proprietary", b"perl", b"bsd", b"asl"]
 
 
 def _with_leads(low: bytes, offs: np.ndarray) -> np.ndarray:
