@@ -3,10 +3,11 @@
 1. quality: documents that the quality rules reject go.
 2. near_duplicates: of each class of the n-gram join the document with the least doc_id stays.
 3. secrets: live-looking secrets are masked in the text.
-4. mixing: rows are put in the order of the Pfair schedule; every row stays.
-5. encoding: BPE ids of every text, and their number.
+4. mixing: every row gets its slot and place in the Pfair schedule; every row stays.
+5. encoding: BPE ids of every text, and their number, with slot and place.
 
-All stages but the last return the columns of ``documents``. SQL can't express the stages (exact
+All stages but the last return the columns of ``documents``, mixing slot and place too: files and their
+readers keep no order, so what trains on the result reads it by (slot, place). SQL can't express the stages (exact
 binomial bounds, MinHash, byte-pair merges); tests hold ``run`` against a brute-force version.
 """
 
@@ -38,13 +39,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs)
+    return mixing.placed(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    out = bpe.encoded(docs, vocabulary("word_bpe_49k.json"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    out = bpe.encoded(docs.select(F.struct("doc_id", "slot", "place").alias("doc_id"), "text"), vocabulary("word_bpe_49k.json"))
+    return out.select("doc_id.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "doc_id.slot", "doc_id.place")
 
 
 STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("secrets", secret_scan), ("mixing", source_mix), ("encoding", encoding)]

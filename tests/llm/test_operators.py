@@ -451,6 +451,30 @@ def test_pipeline(spark):
             assert got[d] == t.encode(x, add_special_tokens=False).ids
 
 
+def test_pipeline_result_holds_the_schedule(spark, monkeypatch, tmp_path):
+    """Through files and several read partitions, prefixes of the result by slot and place have the sources' shares."""
+    import corpus_pipeline
+
+    sizes, rng = {"a": 1600, "b": 640, "c": 160}, random.Random(3)
+    table = [(s, "word " * rng.randint(1, 40)) for s, n in sizes.items() for _ in range(n)]
+    table = [(i, t, s) for i, (s, t) in enumerate(table)]
+    spark.createDataFrame(table, "doc_id long, text string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    got = sorted(corpus_pipeline.run(spark, str(tmp_path)).select("slot", "place", "doc_id", "n_tokens").collect())
+    assert sorted(r.doc_id for r in got) == [r[0] for r in table] and len({(r.slot, r.place) for r in got}) == len(table)
+    own = {}
+    for r in got:
+        own.setdefault(r.slot, set()).add(table[r.doc_id][2])
+    assert sorted(own) == list(range(75)) and all(len(x) == 1 for x in own.values())
+    parts, seen = mixing.parts_of(mixing.tempered({f"={s}": n for s, n in sizes.items()})), dict.fromkeys(sizes, 0)
+    for k in range(1, 76):
+        seen[min(own[k - 1])] += 1
+        assert all(abs(seen[s] - parts[f"={s}"] * k / mixing.PARTS) < 1 for s in sizes)
+        if any(32 * seen[s] >= n for s, n in sizes.items()):  # a source has run out: another phase begins
+            break
+    assert k > 20
+
+
 def test_queries_have_their_columns(spark):
     out = queries.op1_bpe(spark, "/root/testdata/sf0.001")
     assert [f.dataType for f in out.schema] == [T.LongType(), T.LongType(), T.StringType(), T.StringType()]
