@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact set overlap decides.
+"""N-gram Jaccard join: MinHash prefixes in several trees propose, exact set overlap decides.
 
 Five-word shingles, Jaccard similarity of 0.8 or more. Equal texts fold into one text, texts with
 equal shingle sets into one node. Every node gets a label per tree, a sequence of MinHash values; a
-tree is the sorted trie of its labels. The depth at which prefixes are matched starts at the longest
-and is shortened until the trees together reach the target recall for pairs at the threshold
+tree groups nodes by a prefix of theirs, of one length for all (banding; no sorted trie is built).
+The depth at which prefixes are matched is the longest at which the trees together reach the target recall for pairs at the threshold
 (``depth_for``). Nodes that share a prefix are tied to the least and the greatest member of it, ties
 whose signatures can't reach the threshold fall away, and what hangs together is a candidate group.
 Where ties fall away the nodes around them are hung again by longer prefixes, and in the end the members
