@@ -7,8 +7,8 @@ Equal substrings hence get the same symbols except near their ends, where a run
 outside. Popping in each round the end symbols that could (the first and last run; a first right or
 last left symbol) leaves a sequence of symbols that depends on the substring alone. Its hash is the
 substring's key: equal keys reveal repeats, and since the popped sequence spells the whole substring,
-keys of different substrings differ but for hash collisions of 64 bits (``key_bits=128`` carries a
-second, independent key to the comparison as verification, for twice the shuffle).
+keys of different substrings differ but for hash collisions of 64 bits. Windows of equal keys are not
+verified by their words or a second key.
 
 All windows of ``size`` words get keys this way at once. Documents are dealt into cells by id; each cell
 sends, to buckets by key, the keys it hasn't met at a smaller id before; a bucket finds for each key
