@@ -223,45 +223,89 @@ def test_ngram_join_over_several_blocks(spark, monkeypatch):
     assert got == plain_classes(table)
 
 
-def test_ngram_join_ties_among_strangers(spark, monkeypatch):
-    """Two nodes whose one shared bucket has strangers at both ends are still tied."""
-    monkeypatch.setattr(ngram_join, "TREES", 1)
-    rng = np.random.default_rng(5)
-    sigs = rng.integers(0, 1 << 32, (4, ngram_join.HASHES), dtype=np.uint32)
-    sigs[2] = sigs[1]
-    sigs[2, ngram_join._ORDER[0][6:9]] = 1
-    sigs[:, ngram_join._ORDER[0][:6]] = 7
-    table = [(i, s.tobytes()) for i, s in zip((10, 20, 30, 40), sigs, strict=True)]
-    got = ngram_join._ties(spark.createDataFrame(table, "node long, sig binary"), 6, 0.9995).collect()
-    assert [tuple(r) for r in got] == [(20, 30)]
-
-
-@pytest.mark.parametrize("block", [2, 1024])
-def test_ngram_join_ties_when_no_longer_prefix_is_left(spark, monkeypatch, block):
-    """Linked nodes between strangers are tied by comparison, in one block or many."""
-    for name, value in (("TREES", 1), ("LONGEST", 6), ("BLOCK_NODES", block), ("PAIRS_A_NODE", 0)):
-        monkeypatch.setattr(ngram_join, name, value)
+def alike_classes(bits):
+    m = len(bits)
+    near = [[int(np.bitwise_count(bits[i] ^ bits[j]).sum()) <= ngram_join.DIFFER for j in range(m)] for i in range(m)]
+    return frozenset(frozenset(c) for c in tops(m, [(i, j) for i in range(m) for j in range(i) if near[i][j]]).values())
+
+
+def tops(m, edges):
+    up = list(range(m))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in edges:
+        p, q = top(i), top(j)
+        up[max(p, q)] = min(p, q)
+    out = {}
+    for i in range(m):
+        out.setdefault(top(i), set()).add(i)
+    return out
+
+
+def subtrie(rng, m, families, labels=6):
+    """Rows of some families of alike bits under one prefix, sorted by label; labels don't follow the families."""
+    base = rng.integers(0, 2, (families, ngram_join.HASHES))
+    bits = np.array([np.where(rng.random(ngram_join.HASHES) < 0.08, 1 - b, b) for b in base[rng.integers(0, families, m)]], np.uint8)
+    rest = rng.integers(0, 2, (m, labels)).astype(">u2")
+    order = np.lexsort(rest.T[::-1]) if labels else np.arange(m)
+    return rest[order].view(np.uint16), np.packbits(bits[order], axis=1).view(np.uint64)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_ngram_join_ascends_until_all_that_is_alike_hangs_together(seed):
+    rng = np.random.default_rng(seed)
+    rest, bits = subtrie(rng, int(rng.integers(2, 90)), int(rng.integers(1, 9)), int(rng.integers(0, 7)))
+    ties = ngram_join._ascended(rest, bits)
+    assert frozenset(frozenset(c) for c in tops(len(bits), ties).values()) == alike_classes(bits)
+
+
+def test_ngram_join_ties_of_subtries_in_blocks_and_batches(spark, monkeypatch):
+    """All nodes share one prefix in every tree: blocks of 16, read in batches of 7, tie what is alike."""
+    monkeypatch.setattr(ngram_join, "BLOCK_LABELS", 16)
+    monkeypatch.setattr(ngram_join, "LARGE_SHARE", 0)
     rng = np.random.default_rng(6)
-    sigs = rng.integers(0, 1 << 32, (40, ngram_join.HASHES), dtype=np.uint32)
+    sigs = rng.integers(0, 1 << 16, (60, ngram_join.HASHES), dtype=np.uint16)
     sigs[20:30] = sigs[10:20]
-    sigs[:, ngram_join._ORDER[0][:6]] = 7
-    table = [(i, s.tobytes()) for i, s in enumerate(sigs)]
-    got = ngram_join._ties(spark.createDataFrame(table, "node long, sig binary"), 6, 0.9995).collect()
-    assert sorted(tuple(r) for r in got) == [(i, i + 10) for i in range(10, 20)]
+    for own in ngram_join._ORDER:
+        sigs[:, own[:2]] = 7
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ngram_join._ties(spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sigs)], "node long, sig binary"), 2, 60).distinct().collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    bits = np.packbits((sigs & 1).astype(np.uint8), axis=1).view(np.uint64)
+    assert frozenset(frozenset(c) for c in tops(60, [(r.a, r.b) for r in got]).values()) == alike_classes(bits)
 
 
 def test_ngram_join_trees_meet_the_recall():
-    """Pairs at the threshold, by the positions that the trees really use; all rounds together miss 0.05 % at most."""
-    rng, n, rounds = np.random.default_rng(3), 60_000, []
-    depth = ngram_join.depth_for(0.9995)
-    for d in range(depth, ngram_join.LONGEST + 1, 2):
-        trees = ngram_join.TREES if d == depth else ngram_join.trees_for(d, 1 - 0.0005 / 4)
-        same, met = rng.random((n, ngram_join.HASHES)) < 0.8, np.zeros(n, bool)
-        for own in ngram_join._ORDER[:trees]:
-            met |= same[:, own[:d]].all(axis=1)
-        assert len(ngram_join._ORDER) >= trees
-        rounds.append(float((~met).mean()))
-    assert len(rounds) == 4 and max(rounds) < 0.0003 and sum(rounds) < 0.0007  # 0.00044 expected, by chance of 60,000 pairs a round
+    """Pairs at the threshold, by the positions that the trees really use."""
+    rng, n, depth = np.random.default_rng(3), 200_000, ngram_join.depth_for(0.9995)
+    same, met = rng.random((n, ngram_join.HASHES)) < 0.8, np.zeros(n, bool)
+    for own in ngram_join._ORDER:
+        met |= same[:, own[:depth]].all(axis=1)
+    assert depth == 6 and float((~met).mean()) < 0.0002  # 0.00006 expected
+    assert ngram_join.missed(depth) <= 0.0005 < ngram_join.missed(depth + 1)
+
+
+def test_ngram_join_recall_at_the_threshold(spark):
+    """Pairs of texts between 0.8 and 0.85, among texts of shared boilerplate: nearly all are found, none else."""
+    rng, table, n = random.Random(12), [], 1500
+    boiler = [f"b{i}" for i in range(30)]
+    for i in range(n):
+        base = [*boiler, *(f"w{rng.randint(0, 10**6)}" for _ in range(150))]
+        at, more = rng.randint(60, 90), [f"x{rng.randint(0, 10**6)}" for _ in range(rng.randint(8, 30))]
+        table += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:at], *more, *base[at:]]))]
+    grams = [set(zip(*(words(t)[k:] for k in range(5)))) for _, t in table]
+    want = {2 * i for i in range(n) if len(grams[2 * i] & grams[2 * i + 1]) >= 0.8 * len(grams[2 * i] | grams[2 * i + 1])}
+    got = {r.doc_id: r for r in ngram_join.classes(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    found = {i for i in got if i % 2 == 0 and got[i + 1].class_id == i}
+    assert len(want) > 900 and found <= want and len(want - found) <= 2
+    assert all(got[i].n_links == (i - i % 2 in found) for i in got)
 
 
 def test_components_with_heavy_nodes(spark):

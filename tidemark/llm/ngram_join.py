@@ -1,22 +1,27 @@
-"""N-gram Jaccard join: MinHash prefixes in several trees propose, exact set overlap decides.
-
-Five-word shingles, Jaccard similarity of 0.8 or more. Equal texts fold into one text, texts with
-equal shingle sets into one node. Every node gets a label per tree, a sequence of MinHash values; a
-tree groups nodes by a prefix of theirs, of one length for all (banding; no sorted trie is built).
-The depth at which prefixes are matched is the longest at which the trees together reach the target recall for pairs at the threshold
-(``depth_for``). Nodes that share a prefix are tied to the least and the greatest member of it, ties
-whose signatures can't reach the threshold fall away, and what hangs together is a candidate group.
-Where ties fall away the nodes around them are hung again by longer prefixes, and in the end the members
-of buckets that still lose ties are compared with each other, all with all, in blocks (``_ties``).
+"""N-gram Jaccard join: a MinHash LSH forest proposes, exact set overlap decides.
+
+Five-word shingles, Jaccard similarity of 0.8 or more. Equal texts fold into one text, texts with equal
+shingle sets into one node. Every node has in each tree a label, a sequence of ``LONGEST`` MinHash values.
+The labels of a tree, sorted, are its trie. Matched prefixes are shortened until the target recall: the
+shortest prefix, ``depth_for`` values long, is the longest at which the trees, which share no MinHash value
+up to there, bring a pair at the threshold together often enough. Nodes are dealt by tree and that
+prefix, so a task holds whole subtries, sorted by the rest of the label; there a node is compared first with
+the neighbours with which it shares the longest prefix, and where these are strangers with what
+shorter and shorter prefixes bring to it, until its subtrie hangs together or the shortest prefix is reached
+(``_ascended``). Comparisons are of one bit of each MinHash value, which travel with the labels. What hangs
+together, over all trees, is a candidate group.
+
+Subtries larger than a block are dealt into pairs of blocks, so no task holds one and no pair is lost.
 Within each group all pairs are verified exactly, in blocks of bounded size: a task holds two blocks,
-and only counts and a spanning forest of the verified links leave it, never the pairs.
+and only counts and stars of the verified links leave it, never the pairs.
 
 Result: one row a document with ``class_id`` (the least doc_id of its class: the texts connected by
 links) and ``n_links`` (the number of other, different texts within the threshold).
 
 Edge cases: null and empty texts have no words, hence no shingles; such texts are only copies of
-each other (equal text). A text with fewer than five words has one shingle of all its words. A null
-doc_id stands alone: class_id null, n_links 0. Repeated rows are copies. Other columns don't matter.
+each other (equal text). A text with fewer than five words has one shingle of all its words. A very long text
+is a set like others, in memory once. A null doc_id stands alone: class_id null, n_links 0. Repeated rows are
+copies. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -31,126 +36,213 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.links import components
-from tidemark.llm.shared import cut, fields_of, row_of, text_of, width
+from tidemark.llm.links import components, roots
+from tidemark.llm.shared import cut, fields_of, met, row_of, text_of, width
 
 SHINGLE = 5
 THRESHOLD = 0.8
 HASHES = 192
 TREES = 32
 LONGEST = 12
-MOST_TREES = 320
-_ALIKE = THRESHOLD - 0.2  # by signatures: some seven standard errors below the threshold
-_CLOSE = _ALIKE + (1 - THRESHOLD) + 0.1  # a linked partner of what isn't alike is below this
+#: bits of two signatures that may differ: of 192 some 19 do at the threshold, with a deviation of 4.2
+DIFFER = 40
 BLOCK_SHINGLES = 400_000
 BLOCK_NODES = 1024
-PAIRS_A_NODE = 256  # with fewer pairs than that to a node of the table, buckets are compared rather than hung again
+BLOCK_LABELS = 4096
+#: A prefix is dealt into blocks if it has more rows than a block and over this share of all: so few are, however many rows there are.
+LARGE_SHARE = 1 / 200_000
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_OWN = HASHES // TREES
 
 
 def _orders() -> np.ndarray:
-    """Positions in the signature of each tree's label. The first ``HASHES // TREES`` positions of the
-    first ``TREES`` trees are no other such tree's; all else is drawn from the whole signature."""
-    out, own = np.array([_rng.permutation(HASHES) for _ in range(MOST_TREES)]), HASHES // TREES
-    for t, first in enumerate(_rng.permutation(HASHES)[: TREES * own].reshape(TREES, own)):
-        out[t] = np.concatenate([first, out[t][~np.isin(out[t], first)]])
-    return out[:, :LONGEST]
+    """Positions in the signature of each tree's label: the first ``_OWN`` are no other tree's."""
+    out = []
+    for first in _rng.permutation(HASHES).reshape(TREES, _OWN):
+        rest = _rng.permutation(HASHES)
+        out.append(np.concatenate([first, rest[~np.isin(rest, first)]])[:LONGEST])
+    return np.array(out)
 
 
 _ORDER = _orders()
-_OWN = TREES, HASHES // TREES
 
 
-def missed(depth: int, trees: int, threshold: float = THRESHOLD) -> float:
-    """The chance that a pair at this similarity meets in none of the first ``trees`` trees at this depth.
+def missed(depth: int, threshold: float = THRESHOLD) -> float:
+    """The chance that a pair at this similarity shares a prefix of ``depth`` values in no tree.
 
-    Prefixes without a common position are independent. Others are drawn from one signature, so what a pair
+    Up to ``_OWN`` values the trees are independent. Longer prefixes draw on one signature, so what a pair
     misses depends on how many of its ``HASHES`` values agree: the mean over that binomial number.
     """
-    if trees <= _OWN[0] and depth <= _OWN[1]:
-        return (1 - threshold**depth) ** trees
+    if depth <= _OWN:
+        return (1 - threshold**depth) ** TREES
     out = 0.0
     for m in range(HASHES + 1):
         p = math.exp(math.lgamma(HASHES + 1) - math.lgamma(m + 1) - math.lgamma(HASHES - m + 1) + m * math.log(threshold) + (HASHES - m) * math.log(1 - threshold))
-        out += p * (1 - math.comb(m, depth) / math.comb(HASHES, depth)) ** trees
+        out += p * (1 - math.comb(m, depth) / math.comb(HASHES, depth)) ** TREES
     return out
 
 
-def depth_for(recall: float, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with this probability."""
-    for depth in range(longest, 1, -1):
-        if missed(depth, trees, threshold) <= 1 - recall:
+def depth_for(recall: float, threshold: float = THRESHOLD) -> int:
+    """The length down to which prefixes are shortened: the first, from the longest, that has this recall."""
+    for depth in range(LONGEST, 1, -1):
+        if missed(depth, threshold) <= 1 - recall:
             return depth
     return 1
 
 
-def trees_for(depth: int, recall: float, threshold: float = THRESHOLD) -> int:
-    """Trees that bring a pair at the threshold together at this depth with this probability."""
-    if missed(depth, MOST_TREES, threshold) > 1 - recall:
-        raise ValueError(f"{MOST_TREES} trees over {HASHES} MinHash values don't reach a recall of {recall} at depth {depth}")
-    low, high = 0, MOST_TREES
-    while high - low > 1:
-        half = (low + high) // 2
-        low, high = (low, half) if missed(depth, half, threshold) <= 1 - recall else (half, high)
-    return high
-
-
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash values, a row for each non-empty set."""
+    """MinHash values of 16 bits, a row for each non-empty set."""
     lens = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     at = np.concatenate([[0], np.cumsum(lens)[:-1]])
     out = np.empty((len(sets), HASHES), np.uint32)
     for j in range(HASHES):
         out[:, j] = np.minimum.reduceat(((flat * _A[j] + _B[j]) >> np.uint64(32)).astype(np.uint32), at)
-    return out
+    return (out * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
 
 
 @W.released
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text without words has its own digest for a set, and no signature."""
     for batch in batches:
         data, offs = W.buffers(batch.column(2))
         for a, z in W.blocks(offs):
             sets = W.shingle_sets(data[offs[a] : offs[z]], offs[a : z + 1] - offs[a], SHINGLE)
             some = [s for s in sets if len(s)]
             signed = iter(_signatures(some)) if some else iter(())
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            texts = batch.column(1).slice(a, z - a)
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"-" + t for s, t in zip(sets, texts.to_pylist(), strict=True)]
             sigs = [next(signed).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())],
+                [batch.column(0).slice(a, z - a), texts, pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary())],
                 ["doc_id", "text_key", "set_key", "n_shingles", "sig"],
             )
 
 
-def _prefixes(depth: int, trees: int):
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    n, size = rows.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * size
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _rows(column: pa.Array, kind, size: int) -> np.ndarray:
+    """A binary column of rows of one length, as rows of numbers."""
+    data, offs = W.buffers(column.cast(pa.binary()))
+    return data.view(kind).reshape(len(offs) - 1, size) if size else np.zeros((len(offs) - 1, 0), kind)
+
+
+def _hung(depth: int, keys_only: bool = False):
+    """Of every node (node, sig), in every tree: the hash of tree and shortest prefix, the rest of its label, its bits."""
+
     @W.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
-            for t in range(trees):
+            sig = _rows(batch.column(1), np.uint16, HASHES)
+            bits = None if keys_only else _binary(np.packbits((sig & 1).astype(np.uint8), axis=1))
+            for t in range(TREES):
                 acc = np.full(len(sig), t + 1, np.uint64)
                 for j in _ORDER[t][:depth]:
-                    acc = W.mix(acc * W.STEP + sig[:, j])
-                yield pa.RecordBatch.from_arrays([pa.array(acc.view(np.int64)), batch.column(0)], ["prefix", "node"])
+                    acc = W.mix(acc * W.STEP + sig[:, j].astype(np.uint64))
+                key = pa.array(acc.view(np.int64))
+                if keys_only:
+                    yield pa.RecordBatch.from_arrays([key], ["key"])
+                else:
+                    rest = np.ascontiguousarray(sig[:, _ORDER[t][depth:]]).astype(">u2", order="C")
+                    yield pa.RecordBatch.from_arrays([key, _binary(rest.view(np.uint8).reshape(len(sig), -1)), batch.column(0), bits], ["key", "rest", "node", "bits"])
 
     return run
 
 
-def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The low byte of each MinHash value: enough to compare two signatures, strangers' bytes agree once in 256."""
-    for batch in batches:
-        low = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).astype(np.uint8).reshape(-1, HASHES)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in low], pa.binary())], ["node", "sig"])
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, HASHES) for c in (a, b))
-    return pa.array((x == y).mean(axis=1))
+def _ascended(rest: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+    """Ties (i, j) of a spanning forest of the alike rows of one subtrie, sorted by the rest of the label.
+
+    From whole labels to the shortest prefix: at each length, rows of different subtries that now share a
+    prefix are compared, unless they hang together already; every pair of rows is met once at most.
+    """
+    m = len(bits)
+    group, out = np.arange(m), []
+    shared = np.cumprod(rest[1:] == rest[:-1], axis=1).sum(axis=1) if rest.shape[1] else np.zeros(m - 1, np.int64)
+
+    def tie(i: int, j: int) -> None:
+        out.append((i, j))
+        group[group == group[j]] = group[i]
+
+    for i in np.flatnonzero(_differ(bits[1:], bits[:-1]) <= DIFFER).tolist():  # neighbours share the longest prefixes
+        tie(i, i + 1)
+    child = np.arange(m)
+    for length in range(rest.shape[1], -1, -1):
+        if (group == group[0]).all():
+            break
+        parent = np.concatenate([[0], np.cumsum(shared < length)])
+        edges = np.searchsorted(parent, np.arange(parent[-1] + 2))
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if child[a] == child[z - 1] or (group[a:z] == group[a]).all():
+                continue
+            for i in range(a, z - 1):
+                b = int(np.searchsorted(child, child[i], side="right"))
+                if b >= z:
+                    break
+                for j in (np.flatnonzero((_differ(bits[i], bits[b:z]) <= DIFFER) & (group[b:z] != group[i])) + b).tolist():
+                    if group[i] != group[j]:
+                        tie(i, j)
+        child = parent
+    return out
+
+
+@W.released
+def _climbed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, bi, bj, rest): the ties of every subtrie."""
+    kept = None
+
+    def done(key, rest, node, bits) -> pa.RecordBatch:
+        same = (key[1:] == key[:-1]).all(axis=1)
+        alike = same & (_differ(bits[1:], bits[:-1]) <= DIFFER)
+        at = np.flatnonzero(alike)
+        ties = [np.column_stack([node[at], node[at + 1]])]
+        run = np.concatenate([[0], np.cumsum(~same)])
+        for r in np.unique(run[:-1][same & ~alike]).tolist():  # a neighbour is a stranger
+            a, z = np.searchsorted(run, [r, r + 1])
+            found = _ascended(rest[a:z], bits[a:z])
+            if found:
+                ties.append(node[a:z][np.array(found)])
+        u, v = roots(*np.concatenate(ties).T)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+        size = len(batch.column(3)[0].as_py()) // 2
+        now = [key, _rows(batch.column(3), np.uint16, size), batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64), _rows(batch.column(5), np.uint64, HASHES // 64)]
+        kept = now if kept is None else [np.concatenate(p) for p in zip(kept, now, strict=True)]
+        last = int(np.flatnonzero((kept[0] != kept[0][-1]).any(axis=1))[-1]) + 1 if (kept[0] != kept[0][-1]).any() else 0
+        if last > 1:
+            yield done(*[x[:last] for x in kept])
+        kept = [x[last:] for x in kept]
+    if kept is not None and len(kept[2]) > 1:
+        yield done(*kept)
+
+
+def _ties(nodes: DataFrame, depth: int, n_nodes: int) -> DataFrame:
+    """(a, b): ties among nodes (node, sig) that share a prefix of ``depth`` values in some tree and are alike."""
+    n = width(nodes.sparkSession)
+    least = max(BLOCK_LABELS, int(n_nodes * TREES * LARGE_SHARE))
+    large = nodes.mapInArrow(_hung(depth, True), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    hung = nodes.mapInArrow(_hung(depth), "key long, rest binary, node long, bits binary").join(F.broadcast(large), "key", "left")  # 200,000 rows at most
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK_LABELS).cast("int")
+    side = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = hung.withColumn("side", side).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("side", "o").alias("bi"), F.greatest("side", "o").alias("bj"), "rest", "node", "bits")
+    return dealt.repartition(n, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rest", "node").mapInArrow(_climbed, "a long, b long")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -179,27 +271,10 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
-    up = list(range(n))
-
-    def top(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for i, j in pairs:
-        p, q = top(i), top(j)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            out.append((i, j))
-    return out
-
-
 @W.released
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (comp, bi, bj): each pair of blocks in turn; links counted, a spanning forest kept."""
+    """Rows sorted by (comp, bi, bj): each pair of blocks in turn; of every linked node the number of its links
+    and the least node that it hangs together with there."""
     held, key = [], None
 
     def done():
@@ -215,22 +290,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linked = common >= THRESHOLD * union - 1e-9
         if one:
             np.fill_diagonal(linked, False)
-        many = np.array(n_texts, np.int64)
-        counts = dict.fromkeys(range(len(nodes)), 0)
-        for i, c in zip(li, linked @ many[ri], strict=True):
-            counts[i] += int(c)
+        node, many = np.array(nodes, np.int64), np.array(n_texts, np.int64)
+        counts = np.zeros(len(node), np.int64)
+        counts[li] += linked @ many[ri]
         if not one:
-            for i, c in zip(ri, many[li] @ linked, strict=True):
-                counts[i] += int(c)
-        where = np.argwhere(linked)
-        tree = _spanning(np.column_stack([np.array(li)[where[:, 0]], np.array(ri)[where[:, 1]]]), len(nodes)) if len(where) else []
-        rows = [(nodes[i], nodes[i], c) for i, c in counts.items() if c] + [(nodes[i], nodes[j], 0) for i, j in tree]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["a", "b", "links"]) if rows else None
+            counts[ri] += many[li] @ linked
+        i, j = np.nonzero(linked)
+        if not len(i):
+            return None
+        tops = dict(zip(*(x.tolist() for x in roots(node[li][i], node[ri][j])), strict=True))
+        some = np.flatnonzero(counts)
+        root = [tops.get(x, x) for x in node[some].tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(root, pa.int64()), pa.array(counts[some]), pa.array([key[3]] * len(some), pa.bool_())], ["node", "root", "links", "whole"])
 
     for batch in batches:
-        comp, bi, bj, side, node, n_texts = (batch.column(i).to_pylist() for i in range(6))
-        for i, blob in enumerate(batch.column(6)):
-            now = (comp[i], bi[i], bj[i])
+        comp, bi, bj, side, node, n_texts, blocks = (batch.column(i).to_pylist() for i in range(7))
+        for i, blob in enumerate(batch.column(7)):
+            now = (comp[i], bi[i], bj[i], blocks[i] == 1)
             if now != key:
                 if held and (out := done()) is not None:
                     yield out
@@ -258,138 +334,42 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text_of())).alias("text_key"), text_of().alias("text"))
 
 
-def _ties(sig: DataFrame, depth: int, recall: float) -> DataFrame:
-    """(a, b), a < b: ties of the nodes of ``sig`` (node, sig) to ends of the buckets that share a prefix.
-
-    A tie that falls away may have been the one that held a linked pair together. If x and y are within
-    the threshold and y is not alike an end, then x is no nearer to that end than ``_CLOSE`` (Jaccard
-    distance is a metric). So what is tied that loosely to a node with a lost tie is hung again by
-    longer prefixes, in more trees for the same recall, where few strangers share a bucket. When no
-    longer prefix is left, or the buckets that lose ties have become small, their members are compared.
-    """
-    alike = F.arrow_udf(_alike, "double")
-    recall = 1 - (1 - recall) / max(1, 1 + (LONGEST - depth) // 2)  # what all rounds miss adds up
-    whole, todo, trees, kept = sig, sig, TREES, None
-    sig = sig.mapInArrow(_low, "node long, sig binary")
-    n = sig.count()
-    while True:
-        hung = todo.mapInArrow(_prefixes(depth, trees), "prefix long, node long")
-        ends = hung.groupBy("prefix").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-        tied = hung.join(ends, "prefix").select("prefix", "n", "node", F.explode(F.array("lo", "hi")).alias("other")).where("node != other")
-        tied = tied.select("prefix", "n", F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        ties = tied.select("a", "b").distinct()
-        ties = cut(ties.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", alike("sa", "sb").alias("alike")))
-        held, lost = (ties.where(w).select("a", "b") for w in (F.col("alike") >= _ALIKE, F.col("alike") < _ALIKE))
-        kept = held if kept is None else kept.union(held)
-        if lost.isEmpty():
-            return kept.distinct()
-        mixed = cut(tied.join(lost, ["a", "b"], "left_semi").select("prefix", "n").distinct())
-        pairs = mixed.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0]
-        depth += 2
-        if depth > LONGEST or pairs <= PAIRS_A_NODE * n:
-            return kept.union(_compared(hung.join(mixed, "prefix"), sig)).distinct()
-        lost = lost.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-        loose = ties.where(F.col("alike") < _CLOSE).select(F.explode(F.array(F.struct(F.col("a").alias("end"), F.col("b").alias("node")), F.struct(F.col("b").alias("end"), F.col("a").alias("node")))).alias("t")).select("t.*")
-        again = loose.join(lost, "end", "left_semi").select("node").union(lost.select("end")).distinct()
-        todo, trees = whole.join(again, "node", "left_semi"), trees_for(depth, recall)
-
-
-def _compared(members: DataFrame, sig: DataFrame) -> DataFrame:
-    """(a, b), a < b: a spanning forest of the alike pairs among the members (prefix, n, node) of each bucket.
-
-    A bucket is dealt into blocks of ``BLOCK_NODES``, and a task compares two blocks, so all pairs are seen
-    however large the bucket is, and only the forest leaves a task.
-    """
-    sides = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK_NODES).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = sides.join(sig, "node").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "prefix", F.least("side", "o").alias("bi"), F.greatest("side", "o").alias("bj"), "side", "node", "sig"
+def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, root, links, whole) of the nodes (node, text_key, n_texts, n_shingles) of candidate groups (node, component)."""
+    spark, n = docs.sparkSession, width(docs.sparkSession)
+    member = cut(groups.join(nodes, "node"))
+    sizes = member.groupBy("component").agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"), F.count("*").alias("n"))
+    dealt = met(member, sizes, "component", "n", member.count()).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.select(F.col("node").alias("doc_id"), "text_key", "component", "blocks", "side", "n_texts")
+    sets = _keyed(docs).join(dealt, ["doc_id", "text_key"]).select("component", "blocks", "side", F.col("doc_id").alias("node"), "n_texts", "text").mapInArrow(
+        _sets, "component long, blocks int, side int, node long, n_texts long, shingles binary"
     )
-    n = width(sig.sparkSession)
-    return dealt.repartition(n, "prefix", "bi", "bj").sortWithinPartitions("prefix", "bi", "bj", "node").mapInArrow(_resembling, "a long, b long")
-
-
-def _alike_pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which of all left with all right signatures (low bytes) are alike."""
-    same = np.zeros((len(left), len(right)), np.uint8)
-    for x, y in zip(np.ascontiguousarray(left.T), np.ascontiguousarray(right.T), strict=True):
-        same += x[:, None] == y[None, :]
-    return same >= math.ceil(_ALIKE * HASHES - 1e-9)
-
-
-@W.released
-def _resembling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (prefix, bi, bj, node): each pair of blocks in turn, a spanning forest of its alike pairs."""
-    held, key = [], None
-    ends: list[tuple[int, int]] = []
-
-    def done():
-        side, node = (np.array(x) for x in list(zip(*held, strict=True))[:2])
-        low = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(-1, HASHES)
-        left, right = np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
-        near, fresh = np.zeros((len(held), len(held)), bool), np.ones(len(held), bool)
-        near[np.ix_(left, right)] = _alike_pairs(low[left], low[right])
-        near |= near.T
-        for first in range(len(held)):
-            todo = [first] if fresh[first] else []
-            fresh[first] = False
-            while todo:
-                i = todo.pop()
-                more = np.flatnonzero(near[i] & fresh).tolist()
-                fresh[more] = False
-                todo += more
-                ends.extend((min(node[i], node[j]), max(node[i], node[j])) for j in more)
-
-    def out():
-        rows = pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in range(2)], ["a", "b"])
-        ends.clear()
-        return rows
-
-    for batch in batches:
-        for prefix, bi, bj, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if (prefix, bi, bj) != key:
-                if len(held) > 1:
-                    done()
-                held, key = [], (prefix, bi, bj)
-            held.append(row)
-        if ends:
-            yield out()
-    if len(held) > 1:
-        done()
-    if ends:
-        yield out()
+    pairs = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "component", F.least("side", "o").alias("bi"), F.greatest("side", "o").alias("bj"), "side", "node", "n_texts", "blocks", "shingles"
+    )
+    return pairs.repartition(n, "component", "bi", "bj").sortWithinPartitions("component", "bi", "bj", "node").mapInArrow(_verify, "node long, root long, links long, whole boolean")
 
 
 def classes(docs: DataFrame, recall: float = 0.9995) -> DataFrame:
     """(doc_id, text_key, class_id, n_links) for every row of ``docs``."""
-    spark, n = docs.sparkSession, width(docs.sparkSession)
     rows = cut(_keyed(docs).mapInArrow(_sketch, "doc_id long, text_key binary, set_key binary, n_shingles long, sig binary"))
-    named = rows.where("doc_id is not null")
-    texts = named.groupBy("text_key").agg(F.min("doc_id").alias("text_rep"), F.first("set_key").alias("set_key"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    nodes = texts.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("text_rep", "text_key")).alias("rep"), F.count("*").alias("n_texts"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    nodes = cut(nodes.select("set_key", F.col("rep.text_rep").alias("node"), F.col("rep.text_key").alias("text_key"), "n_texts", "n_shingles", "sig"))
-
-    ties = _ties(nodes.select("node", "sig"), depth_for(recall), recall)
-    groups = cut(components(ties))
-
-    member = groups.join(nodes.drop("sig", "set_key"), "node")
-    total = member.groupBy("component").agg(F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"))
-    member = member.join(total, "component").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = member.select(F.col("node").alias("doc_id"), "text_key", "component", "blocks", "side", "n_texts")
-    sets = _keyed(docs).join(member, ["doc_id", "text_key"]).select("component", "blocks", "side", F.col("doc_id").alias("node"), "n_texts", "text").mapInArrow(
-        _sets, "component long, blocks int, side int, node long, n_texts long, shingles binary"
-    )
-    dealt = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("side", "o").alias("bi"), F.greatest("side", "o").alias("bj"), "side", "node", "n_texts", "shingles"
-    )
-    found = cut(dealt.repartition(n, "component", "bi", "bj").sortWithinPartitions("component", "bi", "bj", "node").mapInArrow(_verify, "a long, b long, links long"))
-    linked = components(found.where("a != b")).withColumnRenamed("component", "class_id")
-    degree = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-
-    by_set = nodes.select("set_key", "node", "n_texts").join(linked, "node", "left").join(degree, "node", "left").select("set_key", F.coalesce("class_id", "node").alias("set_class"), (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"))
-    by_text = texts.select("text_key", "text_rep", "set_key").join(by_set, "set_key", "left").select("text_key", F.coalesce("set_class", "text_rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.select("doc_id", "text_key").join(by_text, "text_key", "left").select(
-        "doc_id", "text_key", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links")
+    texts = rows.where("doc_id is not null").groupBy("set_key", "text_key").agg(F.min("doc_id").alias("text_rep"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    nodes = texts.groupBy("set_key").agg(F.min(F.struct("text_rep", "text_key")).alias("rep"), F.count("*").alias("n_texts"), F.sum("n").alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    nodes = cut(nodes.select("set_key", F.col("rep.text_rep").alias("node"), F.col("rep.text_key").alias("text_key"), "n_texts", "n_rows", "n_shingles", "sig"))
+    some = nodes.where("sig is not null")
+    n_nodes, n_rows = nodes.agg(F.count("sig"), F.sum("n_rows")).first()
+
+    groups = components(_ties(some.select("node", "sig"), depth_for(recall), n_nodes))
+    found = cut(_verified(docs, some.select("node", "text_key", "n_texts", "n_shingles"), groups))
+    # groups of one block are done; what hangs together over several blocks is found by its stars
+    wide = components(found.where("not whole"), "node", "root")
+    told = found.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.when(F.col("whole"), F.col("root"))).alias("root")).join(wide, "node", "left")
+    by_set = nodes.select("set_key", "node", "n_texts", "n_rows").join(told, "node", "left").select(
+        "set_key", "n_rows", F.coalesce("component", "root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links")
     )
+    named = met(rows.where("doc_id is not null").select("doc_id", "text_key", "set_key"), by_set, "set_key", "n_rows", n_rows or 0)
+    alone = rows.where("doc_id is null").select("doc_id", "text_key", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return named.select("doc_id", "text_key", "class_id", F.col("n_links").cast("long").alias("n_links")).unionByName(alone)
 
 
 def deduplicated(docs: DataFrame, recall: float = 0.9995) -> DataFrame:
