@@ -122,6 +122,63 @@ def test_html(spark):
     assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ('<div class="page no-sidebar"><article>body</article></div>', "body"), ('<article><div class="post-header"><h1>Title</h1></div><p>x</p></article>', "Title\nx"),
+    ('<article><p>a</p><section id="related-work">rw</section></article>', "a\nrw"), ('<main><div class="side-by-side">s</div></main>', "s"), ('A <a href="x>link</a> tail', "A link tail"),
+    ('<div class="sidebar"><article>only</article></div>', "only"), ('<article>a<div class="ad-box">b</div></article><section class="comments"><article>c</article></section>', "a"),
+    ("a < b <p>c</p><!-- x --> d <!--> e <!---> f <!-- never", "a < b\nc\nd e f"), ("<p title='a>b'>q</p> it's <b>don't</b>", "q\nit's don't"), ("x <a href", "x"), ("<title>a", ""), ("&lt;&nbsp;&#66;\n ", "< B"),
+])
+def test_html_of_odd_markup(html, text):
+    assert html_text.Page(html).text() == text
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<b>x</i>", '<a href="', "<!--", "<p>x", "<a b='c\" ", "<title>", "</p>", "<ul><li>", '<p title="', "<", "<a b=\"'\"'"])
+def test_html_takes_linear_time(unit):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        page = html_text.Page(unit * n)
+        page.subtrees(), page.text()
+        return time.process_time() - began
+
+    short = min(took(4000) for _ in range(3))
+    assert took(32000) < 40 * max(short, 0.002)
+
+
+def plain_templates(pages):
+    """Templates by counting each host's different pages; the same elements, no Spark."""
+    by_host = {}
+    for _, url, html in pages:
+        by_host.setdefault(url.split("/")[2].lower(), set()).add(html)
+    return {h: {k for k in set().union(*(html_text.Page(x).subtrees() for x in own)) if (n := sum(k in html_text.Page(x).subtrees() for x in own)) >= html_text.LEAST and n >= len(own) * (html_text.ARTICLE_SHARE if k & 1 else html_text.SHARE)} for h, own in by_host.items()}
+
+
+def test_html_templates_of_random_sites(spark):
+    """Sites whose markup declares nothing, with copies of pages: what recurs goes, what is copied stays."""
+    rng = random.Random(5)
+    line = lambda: " ".join(f"w{rng.randint(0, 999)}" for _ in range(6))
+    pages = []
+    for h in range(6):
+        top, foot, box = line(), line(), line()
+        for i in range(rng.choice([1, 4, 9, 30])):
+            quote = f"<p>{box}</p>" if rng.random() < 0.6 else ""
+            body = f"<div><span>{top}</span></div><div><article><h1>{line()}</h1><p>{line()}</p>{quote}</article></div>" if rng.random() < 0.5 else f"<div>{top}</div><div><p>{line()}</p>{quote}</div>"
+            pages += [(len(pages), f"http://H{h}.example/{i}", f"<body>{body}<div>{foot}</div></body>")] * rng.choice([1, 1, 7])
+    templates = plain_templates(pages)
+    want = sorted((p, html_text.Page(x).text(templates[u.split("/")[2].lower()])) for p, u, x in pages)
+    got = sorted((r.page_id, r.text) for r in html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect())
+    assert got == want
+    changed = sum(html_text.Page(x).text() != t for (_, t), (_, _, x) in zip(want, sorted(pages), strict=True))
+    assert changed > len(pages) / 4
+
+
+def test_html_copies_of_a_page_are_no_template(spark):
+    page = "<body><div><p>one</p><p>two</p></div></body>"
+    pages = [(7, "http://a.example/7", page)] * 9 + [(i, "http://b.example/", page) for i in range(9)]
+    assert {r.text for r in html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {"one\ntwo"}
+
+
 def test_token_counts(spark, docs, none):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
