@@ -109,6 +109,48 @@ def test_mixing_keeps_every_source_within_a_block(seed):
     assert sorted(slots.values()) == list(range(sum(blocks.values())))
 
 
+def plain_schedule(sizes, weights, block, parts):
+    """Slot of each block by a slot-by-slot earliest-deadline-first run; a new phase begins where a source runs out."""
+    left, served, slots, slot = {s: -(-n // block) for s, n in sizes.items() if n}, {}, {}, 0
+    while left:
+        share = mixing.parts_of({s: weights.get(s, 0) for s in left}, parts) or mixing.parts_of(dict.fromkeys(left, 1), parts)
+        total, start, got = sum(share.values()), slot, dict.fromkeys(share, 0)
+        while all(left[s] for s in share):
+            ready = [(-(-(got[s] + 1) * total // a), s) for s, a in share.items() if got[s] * total // a <= slot - start]
+            deadline, s = min(ready)
+            assert slot - start < deadline
+            slots[s, served.get(s, 0)] = slot
+            served[s], got[s], left[s], slot = served.get(s, 0) + 1, got[s] + 1, left[s] - 1, slot + 1
+        left = {s: n for s, n in left.items() if n}
+    return slots
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 1, "b": 3, "c": 0.5, None: 1}, {"b": 2}, {}])
+def test_mixing_follows_the_weights(spark, weights):
+    sizes = {"a": 90, "b": 41, "c": 7, None: 12}
+    table = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.scheduled(spark.createDataFrame(table, "doc_id long, source string").repartition(3), weights, block_docs=2).collect()
+    mark = lambda s: "null" if s is None else f"={s}"
+    rates = {mark(s): n**mixing.POWER for s, n in sizes.items()} if weights is None else {mark(s): w for s, w in weights.items()}
+    want = plain_schedule({mark(s): n for s, n in sizes.items()}, rates, 2, mixing.PARTS)
+    assert {(mark(r.source), r.block): r.slot for r in got} == want
+
+
+def test_mixing_many_sources_and_hot_rows(spark):
+    """Sources beyond the number of own ones share blocks; null ids and repeated ids are dealt like others."""
+    rng = random.Random(4)
+    table = [(None if i % 3 == 0 else i % 50, f"t{i}", f"s{min(rng.randint(0, 40), rng.randint(0, 40))}") for i in range(1000)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    for weights in (None, {f"s{i}": 1 + i % 3 for i in range(30)}):
+        got = mixing.placed(docs, weights, block_docs=4, own_sources=5).collect()
+        assert sorted((r.doc_id or -1, r.text, r.source) for r in got) == sorted((a or -1, b, c) for a, b, c in table)
+        assert len({(r.slot, r.place) for r in got}) == 1000 and {r.slot for r in got} == set(range(max(r.slot for r in got) + 1))
+        by_slot = {}
+        for r in got:
+            by_slot.setdefault(r.slot, set()).add(r.source)
+        assert len({s for own in by_slot.values() if len(own) > 1 for s in own}) > 30
+
+
 def test_html(spark):
     menu, foot = "<div><a href='/a'>Alpha</a> <span>Beta</span></div>", "<p>Imprint of the house</p>"
     body = lambda i: f"<html><head><title>t</title><style>p{{}}</style></head><body>{menu}<div><p>Own text {i} &amp; more &lt;b&gt;<b> bold<br>line</p><p>Second\n of {i}</div>{foot}<script>if(a<b){{'</p>'}}</script></body></html>"
@@ -567,7 +609,7 @@ def test_pipeline_result_holds_the_schedule(spark, monkeypatch, tmp_path):
     for r in got:
         own.setdefault(r.slot, set()).add(table[r.doc_id][2])
     assert sorted(own) == list(range(75)) and all(len(x) == 1 for x in own.values())
-    parts, seen = mixing.parts_of(mixing.tempered({f"={s}": n for s, n in sizes.items()})), dict.fromkeys(sizes, 0)
+    parts, seen = mixing.parts_of({f"={s}": n**mixing.POWER for s, n in sizes.items()}), dict.fromkeys(sizes, 0)
     for k in range(1, 76):
         seen[min(own[k - 1])] += 1
         assert all(abs(seen[s] - parts[f"={s}"] * k / mixing.PARTS) < 1 for s in sizes)
