@@ -561,6 +561,80 @@ def test_quality_cutoffs_hold_their_risk(spark):
     assert counts[(True, False)] == 1200 and counts.get((False, False), 0) <= 0.02 * 4800
 
 
+def plain_steps(table, marks, risk=0.02, delta=0.05):
+    """Step of each stratum, by single texts and sums of exact binomial terms."""
+    from fractions import Fraction
+    from math import comb
+
+    import pyarrow as pa
+
+    from tidemark.llm import words as W
+
+    label, seen = {}, {}
+    for i, q in marks:
+        if i is not None and q in (0, 1):
+            label[i] = min(q, label.get(i, 1))
+    for i, t, lang in table:
+        if i in label:
+            seen[lang, t] = min(label[i], seen.get((lang, t), 1))
+    strata = {}
+    for (lang, t), q in seen.items():
+        m = {k: int(v[0]) for k, v in quality.measure(*W.buffers(pa.array([t]))).items()}
+        if m["n_words"] < 10 or 100 * m["n_repeat_words"] > 20 * m["n_words"]:
+            continue
+        share = {"symbols": ("n_symbols", "n_words"), "capitals": ("n_upper", "n_letters"), "bangs": ("n_bangs", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
+        broken = [any((m[a] / m[b] if m[b] else 0) > quality.grid(r)[i] for r, (a, b) in share.items()) for i in range(quality.STEPS)]
+        strata.setdefault(lang, []).append((q, broken))
+    out = {}
+    for lang, own in strata.items():
+        good, best, out[lang] = sum(q for q, _ in own), 0, None
+        for i in range(quality.STEPS):
+            lost, caught = (sum(b[i] for q, b in own if q == k) for k in (1, 0))
+            p = Fraction(str(risk))
+            if not good or lost > good * risk or float(sum(comb(good, k) * p**k * (1 - p) ** (good - k) for k in range(lost + 1))) > delta / len(strata):
+                break
+            if caught > best and caught > lost:
+                best, out[lang] = caught, i
+    return out
+
+
+def test_quality_steps_equal_a_plain_version(spark):
+    """Strata of many sizes, copies, labels that repeat, contradict, or name nobody."""
+    rng = random.Random(8)
+    table, marks = [], []
+    for lang, n in (("en", 900), ("de", 500), ("fr", 260), ("es", 30), (None, 400)):
+        for _ in range(n):
+            bad = rng.random() < 0.2
+            w = [f"w{rng.randint(0, 9999)}" + ("#" * rng.randint(0, 3) if bad else "!" if rng.random() < 0.05 else "") for _ in range(rng.randint(5, 40))]
+            table.append((len(table), " ".join(w), lang))
+            marks.append((table[-1][0], 0 if bad and rng.random() < 0.95 else 1))
+    table += [(len(table) + i, table[i][1], table[i][2]) for i in range(300)]
+    marks += [(len(table) - 1 - i, 1) for i in range(300)] + [(3, 0), (3, 1), (None, 1), (7, 5), (10**6, 1)]
+    docs, labels = spark.createDataFrame(table, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    want = plain_steps(table, marks)
+    assert sum(x is not None for x in want.values()) >= 3 and want["es"] is None
+    stratum = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null"))
+    measured = docs.select("doc_id", stratum.alias("stratum"), F.unhex(F.md5("text")).alias("digest"), quality.measures(F.col("text")).alias("m"))
+    assert {r.stratum: r.step for r in quality.calibrate(measured, labels).collect()} == {"null" if k is None else f"={k}": v for k, v in want.items()}
+
+
+def test_quality_counts_only_what_is_equal():
+    """The Thue-Morse word and its complement: equal by polynomial hashes modulo 2**64, but not equal."""
+    import pyarrow as pa
+
+    from tidemark.llm import words as W
+
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    data, offs = W.buffers(pa.array([f"{one} x\n{other} x\n{one} x", f"{one} 1 2 3 4 {other} 1 2 3 4"]))
+    m = quality.measure(data, offs)
+    assert m["n_dup_lines"].tolist() == [1, 0] and m["n_repeat_words"].tolist() == [0, 0]
+    keys = [substring_dedup.window_keys(W.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x)])), np.array([0, 1]), 1)[1][0] for x in (one, other)]
+    assert keys[0] != keys[1]
+
+
 def test_binomial_bound():
     assert abs(quality.tail(2, 10, 0.3) - sum([0.7**10, 10 * 0.3 * 0.7**9, 45 * 0.09 * 0.7**8])) < 1e-12
     assert quality.holds(0, 10_000, 0.002, 0.002) and not quality.holds(0, 100, 0.002, 0.002) and not quality.holds(0, 0, 0.5, 0.5)

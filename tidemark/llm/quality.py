@@ -1,16 +1,24 @@
 """Quality rules with risk-controlled thresholds.
 
-Hand-written measures of a text each get a cutoff from labelled holdouts. For every stratum (the
-``lang`` of the row) and rule the cutoffs are tested from the loosest to the tightest; a cutoff holds
-if the exact binomial (Clopper-Pearson) bound shows that at most ``risk / rules`` of the good texts
-exceed it. The level of each test is ``delta / (strata * rules)`` (Bonferroni); testing in a fixed
-order that stops at the first failure needs no further correction. Rules therefore reject at most
-``risk`` of a stratum's good texts, all rules together, with probability ``1 - delta``. A stratum
-with too few labels to show this gets no cutoff and rejects nothing beyond the base rules.
+Hand-written measures of a text get cutoffs from labelled holdouts. The cutoffs of all rules tighten together, step
+by step; in every stratum (the ``lang`` of the row) the steps are tested from the loosest to the tightest. A step
+holds if the exact binomial (Clopper-Pearson) bound shows that at most ``risk`` of the good texts that pass the
+base rules break any rule there. The level of a stratum's test is ``delta / strata`` (Bonferroni); testing in a fixed
+order that stops at the first failure needs no further correction, and as the union of all rules is what is
+tested, nor do the rules. So the rules reject at most ``risk`` of each stratum's good texts, in all strata
+together with probability ``1 - delta``. Of the steps that hold the loosest that catches most bad texts is taken. A
+stratum with too few labels to show this (some 220 good texts for four strata) rejects nothing beyond the base rules.
+
+The bounds are for independent texts: equal texts of a stratum count once, as good if all their labels say so.
+Calibration is one row a stratum and stays in Spark, for any number of strata; only that number reaches the
+driver.
+
+Measures of equality (lines, windows) compare hashes of two independent lanes, 128 bits.
 
 Edge cases: a null text is empty (no words, so the base rule rejects it); a null ``lang`` is a stratum
 of its own; labels with a null id or a quality other than 0 and 1 don't count; repeated rows are
-judged each for itself; a null ``doc_id`` meets no label but is judged all the same.
+judged each for itself; a null ``doc_id`` meets no label but is judged all the same; a very long text is measured
+whole, in memory linear in its length.
 """
 
 from __future__ import annotations
@@ -23,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.shared import cut, fields_of, row_of
+from tidemark.llm.shared import cut, fields_of, met, row_of
 
 SHAPE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_bangs long"
 NAMES = [x.split()[0] for x in SHAPE.split(", ")]
@@ -40,14 +48,25 @@ def _per_text(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return sums[offs[1:]] - sums[offs[:-1]]
 
 
-def _duplicated(key: np.ndarray) -> np.ndarray:
-    """Which keys occur twice or more."""
-    s = np.sort(key)
-    twice = np.unique(s[1:][s[1:] == s[:-1]])
-    if not len(twice):
-        return np.zeros(len(key), bool)
-    at = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
-    return twice[at] == key
+def _again(owner: np.ndarray, one: np.ndarray, other) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, whether an equal one stands before) of all that occur twice or more under one owner.
+
+    ``one`` is the first lane of hashes, ``other`` gives the second lane at some positions.
+    """
+    key = W.mix(one ^ (owner.astype(np.uint64) * W.STEP))
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    some = order[np.append(same, False) | np.append(False, same)]
+    if not len(some):
+        return some, np.zeros(0, bool)
+    some = np.sort(some)
+    keys = np.column_stack([owner[some].astype(np.uint64), one[some], other(some)])
+    order = np.lexsort(keys.T[::-1])
+    same = (keys[order][1:] == keys[order][:-1]).all(axis=1)
+    later, twice = np.zeros(len(some), bool), np.zeros(len(some), bool)
+    later[order[1:]] = same
+    twice[order] = np.append(same, False) | np.append(False, same)
+    return some[twice], later[twice]
 
 
 def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
@@ -78,22 +97,19 @@ def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     l0, l1 = l0[with_word], l1[with_word]
     doc = np.searchsorted(offs, l0, side="right") - 1
     out["n_lines"] = np.bincount(doc, minlength=n)
-    key = W.mix(W.word_hashes(data, l0, l1) ^ (doc.astype(np.uint64) * W.STEP))
-    order = np.argsort(key, kind="stable")
-    again = np.zeros(len(key), bool)
-    again[order[1:]] = key[order[1:]] == key[order[:-1]]
-    out["n_dup_lines"] = np.bincount(doc[again], minlength=n)
+    at, later = _again(doc, W.word_hashes(data, l0, l1), lambda i: W.word_hashes(data, l0[i], l1[i], 1))
+    out["n_dup_lines"] = np.bincount(doc[at[later]], minlength=n)
 
     if len(starts):
         hashes = W.word_hashes(data, starts, ends)
         wide, ok = W.windows(hashes, first, 5)
         owner = np.repeat(np.arange(n), np.diff(first))
-        at = np.flatnonzero(ok)
-        if len(at):
-            hit = at[_duplicated(W.mix(wide[at] ^ (owner[at].astype(np.uint64) * W.STEP)))]
+        whole = np.flatnonzero(ok)
+        if len(whole):
+            at, _ = _again(owner[whole], wide[whole], lambda i: W.windows(W.word_hashes(data, starts, ends, 1), first, 5)[0][whole[i]])
             cover = np.zeros(len(starts) + 1, np.int64)
-            np.add.at(cover, hit, 1)
-            np.add.at(cover, hit + 5, -1)
+            np.add.at(cover, whole[at], 1)
+            np.add.at(cover, whole[at] + 5, -1)
             out["n_repeat_words"] = np.bincount(owner[np.cumsum(cover)[:-1] > 0], minlength=n)
     return out
 
@@ -156,64 +172,71 @@ def base_failed(m: str = "m") -> Column:
     return (F.col(f"{m}.n_words") < 10) | (100 * F.col(f"{m}.n_repeat_words") > 20 * F.col(f"{m}.n_words"))
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, max_strata: int = 5000) -> dict[str, dict[str, float]]:
-    """Cutoffs as {rule: {stratum: cutoff}} from ``measured`` (doc_id, stratum, m) and ``labels``.
+def _step(stratum: tuple, risk: float, level: float) -> int | None:
+    """The step taken, from the numbers of good texts, and of good and bad ones lost at each step."""
+    good, lost, caught = stratum
+    best, out = 0, None
+    for i in range(STEPS):
+        if not holds(lost[i], good, risk, level):
+            break
+        if caught[i] > best and caught[i] > lost[i]:
+            best, out = caught[i], i
+    return out
 
-    The driver gets counts only: strata x rules x cutoffs x 2 numbers, whatever the number of labels;
-    more than ``max_strata`` strata are an error.
-    """
-    marks = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    values = F.array(*[F.struct(F.lit(r).alias("rule"), sum((F.when(RULES[r][0]() > c, 1).otherwise(0) for c in grid(r)), F.lit(0)).alias("above")) for r in RULES])
-    counts = (
-        measured.join(marks, "doc_id").select("stratum", "quality", F.explode(values).alias("v"))
-        .groupBy("stratum", "quality", "v.rule", "v.above").count().collect()
-    )
-    strata = {r["stratum"] for r in counts}
-    if len(strata) > max_strata:
-        raise ValueError(f"{len(strata)} strata; at most {max_strata} are allowed")
-    level = delta / max(1, len(strata) * len(RULES))
-    out: dict[str, dict[str, float]] = {r: {} for r in RULES}
+
+def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """(stratum, step) from ``measured`` (doc_id, stratum, digest, m) and ``labels``; null where no step holds."""
+    marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    texts = measured.where(~base_failed()).join(marks, "doc_id").groupBy("stratum", "digest").agg(F.min("quality").alias("quality"), F.first("m").alias("m"))
+    broken = F.array(*[breaks(F.lit(i)) for i in range(STEPS)])
+    texts = texts.select("stratum", "quality", broken.alias("broken"))
+
+    def number(quality: int) -> Column:
+        return F.array(*[F.count(F.when((F.col("quality") == quality) & F.col("broken")[i], 1)) for i in range(STEPS)])
+
+    table = cut(texts.groupBy("stratum").agg(F.count(F.when(F.col("quality") == 1, 1)).alias("good"), number(1).alias("lost"), number(0).alias("caught")))
+    level = delta / max(1, table.count())
+
+    @F.arrow_udf(returnType="int")
+    def step(good: pa.Array, lost: pa.Array, caught: pa.Array) -> pa.Array:
+        return pa.array([_step(x, risk, level) for x in zip(good.to_pylist(), lost.to_pylist(), caught.to_pylist(), strict=True)], pa.int32())
+
+    return cut(table.select("stratum", step("good", "lost", "caught").alias("step")))
+
+
+def _over(rule: str, step: Column) -> Column:
+    return RULES[rule][0]() > F.element_at(F.array(*[F.lit(float(c)) for c in grid(rule)]), step + 1)
+
+
+def breaks(step: Column) -> Column:
+    """Whether a row with measures ``m`` breaks any rule at a step."""
+    out = F.lit(False)
     for rule in RULES:
-        for s in strata:
-            own = [r for r in counts if r["rule"] == rule and r["stratum"] == s]
-            good = sum(r["count"] for r in own if r["quality"] == 1)
-            best = 0
-            for i, c in enumerate(grid(rule)):
-                lost, caught = (sum(r["count"] for r in own if r["quality"] == q and r["above"] >= STEPS - i) for q in (1, 0))
-                if not holds(lost, good, risk / len(RULES), level):
-                    break
-                if caught > best and caught > lost:
-                    best, out[rule][s] = caught, c
+        out = out | _over(rule, step)
     return out
 
 
-def failed_rules(cutoffs: dict[str, dict[str, float]]) -> Column:
-    """Names of the rules that a row (stratum, m) breaks."""
-    found = [F.lit(None).cast("string")]
-    for rule, by in cutoffs.items():
-        if by:
-            limits = F.create_map(*[x for s, c in sorted(by.items()) for x in (F.lit(s), F.lit(float(c)))])
-            found.append(F.when(RULES[rule][0]() > limits[F.col("stratum")], F.lit(rule)))
-    return F.array_compact(F.array(*found))
+def failed_rules(step: Column) -> Column:
+    """Names of the rules that a row with measures ``m`` breaks at a step; none where it is null."""
+    return F.array_compact(F.array(*[F.when(_over(rule, step), F.lit(rule)) for rule in RULES]))
 
 
-def _stratum() -> Column:
-    return F.coalesce(F.col("lang"), F.lit(""))
+def _judged(docs: DataFrame, labels: DataFrame, columns: list, **risk) -> DataFrame:
+    """``columns`` of ``docs``, m, base_failed, failed and kept. Texts are read and measured once; the measures are
+    kept, with ``columns``, as a table in the shared folder for both the calibration and the verdict."""
+    stratum = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null"))
+    measured = cut(docs.select(*columns, F.col("doc_id").alias("doc_id"), stratum.alias("stratum"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), measures(F.col("text")).alias("m")))
+    steps = calibrate(measured.select("doc_id", "stratum", "digest", "m"), labels, **risk)
+    sizes = measured.groupBy("stratum").agg(F.count("*").alias("n")).join(steps, "stratum", "left")
+    rows = met(measured, sizes, "stratum", "n", measured.count())
+    return rows.withColumns({"base_failed": base_failed(), "failed": failed_rules(F.col("step"))}).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
 def judged(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
-    """doc_id, the measures in ``m``, base_failed, failed (names) and kept for every row of ``docs``.
-
-    Texts are read once; the measures, a few numbers a row, are kept as a table in the shared folder
-    for both the calibration and the verdict.
-    """
-    measured = cut(docs.select("doc_id", _stratum().alias("stratum"), measures(F.col("text")).alias("m")))
-    failed = failed_rules(calibrate(measured, labels, **risk))
-    return measured.select("doc_id", "m", base_failed().alias("base_failed"), failed.alias("failed")).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    """doc_id, the measures in ``m``, base_failed, failed (names) and kept for every row of ``docs``."""
+    return _judged(docs, labels, [], **risk).select("doc_id", "m", "base_failed", "failed", "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with their columns as they are; no text is shuffled."""
-    rows = docs.select(row_of(docs), F.col("doc_id").alias("doc_id"), _stratum().alias("stratum"), measures(F.col("text")).alias("m"))
-    cutoffs = calibrate(rows.select("doc_id", "stratum", "m"), labels, **risk)
-    return rows.where(~base_failed() & (F.size(failed_rules(cutoffs)) == 0)).select(*fields_of(docs))
+    """The rows of ``docs`` that no rule rejects, with their columns as they are."""
+    return _judged(docs, labels, [row_of(docs)], **risk).where("kept").select(*fields_of(docs))
