@@ -283,7 +283,8 @@ def _templates(pages: DataFrame, least: int, share: float, article_share: float)
     template = counted.where(F.col("on") >= least).join(total, "host").where(F.col("on") >= F.col("pages") * F.when(inside, article_share).otherwise(share))
     at = F.struct("host", "subtree").alias("at")
     deleted = met(found.select("key", "subtree", at), template.select(at, "n", F.lit(True).alias("template")), "at", "n", n)
-    return rows.select("page_id", "url", "html", "key"), deleted.groupBy("key").agg(F.collect_set("subtree").alias("gone"))
+    # as a table its size is known when pages meet it: where little is deleted Spark broadcasts it and moves no page
+    return rows.select("page_id", "url", "html", "key"), cut(deleted.groupBy("key").agg(F.collect_set("subtree").alias("gone")))
 
 
 def extracted(pages: DataFrame, least: int = LEAST, share: float = SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
