@@ -261,6 +261,28 @@ def test_substring_dedup(spark, docs, none):
     assert substring_dedup.deduplicated(none).count() == 0
 
 
+def test_substring_dedup_is_decided_by_digests(spark, monkeypatch):
+    """Keys that all agree by chance ask for every window, and change nothing."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{rng.randint(0, 99)}" for _ in range(30))
+    table = [(i, " ".join([*(f"w{rng.randint(0, 9999)}" for _ in range(20)), *([passage] if i % 4 == 0 else []), "end"])) for i in range(60)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    want = sorted(map(tuple, substring_dedup.deduplicated(docs).collect()))
+    assert sum(r[2] for r in want) == 14 * 31
+    plain = substring_dedup.window_keys
+    monkeypatch.setattr(substring_dedup, "window_keys", lambda *a: (plain(*a)[0], plain(*a)[1] * np.uint64(0)))
+    import pyarrow as pa
+
+    def cogrouped(docs_, answers):
+        return substring_dedup._verifies(13, 1)(docs_, answers)
+
+    rows = pa.table({"doc_id": [r[0] for r in table], "text": [r[1] for r in table], "cell": pa.array([0] * 60, pa.int32())})
+    asked = cogrouped(rows, pa.table({"cell": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "told": pa.array([], pa.binary())}))
+    told = list(substring_dedup._answered(substring_dedup._later)(asked.sort_by("bucket").to_batches()))
+    got = substring_dedup._removed(13, 1)(rows, pa.Table.from_batches(told)).to_pylist()
+    assert sorted(tuple(r.values()) for r in got) == want
+
+
 def test_window_keys_are_equal_for_equal_windows_only():
     import numpy as np
 

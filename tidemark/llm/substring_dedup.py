@@ -6,19 +6,20 @@ are global without any exchange: every executor gives equal content the same nam
 Equal substrings hence get the same symbols except near their ends, where a run or pair may reach
 outside. Popping in each round the end symbols that could (the first and last run; a first right or
 last left symbol) leaves a sequence of symbols that depends on the substring alone. Its hash is the
-substring's key: equal keys reveal repeats, and since the popped sequence spells the whole substring,
-keys of different substrings differ but for hash collisions of 64 bits. Windows of equal keys are not
-verified by their words or a second key.
+substring's key. All windows of ``size`` words get keys this way at once.
 
-All windows of ``size`` words get keys this way at once. Documents are dealt into cells by id; each cell
-sends, to buckets by key, the keys it hasn't met at a smaller id before; a bucket finds for each key
-the least id over the corpus and answers each cell which of its keys are repeats; the cell, which
-comes with its texts from the same shuffle, removes the words that repeated windows cover. Keys of one
-bucket and texts of one cell are all that a task holds. A hot passage is one key a cell, never a pair.
+Spark works in two rounds over documents dealt into cells by id. First each cell sends the keys of its windows,
+cut to 40 bits, to buckets by key; a bucket answers which of them more than one cell has. These shared
+symbols reveal what may repeat. Then each cell sends of such windows (and of those that it has twice itself) digests of
+their words, 128 bits of two independent lanes, once a cell and with the least id there; a bucket finds for each digest
+the least id over the corpus and answers which are repeats. So the digests decide, and a chance
+agreement of keys only costs a question. The cell, which comes with its texts from the same shuffle,
+removes the words that repeated windows cover. The number of cells follows the bytes of the texts, and a task holds
+one cell or one bucket. A hot passage is one key a cell, never a pair.
 
 Edge cases: a null text has no words; windows don't cross documents; texts under ``size`` words lose
-nothing; rows with one id don't make each other repeats; a null id neither takes part nor loses words;
-an empty table gives no rows.
+nothing; a very long text is one cell's; rows with one id don't make each other repeats; a null id neither takes part
+nor loses words; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from tidemark.llm.shared import text_of, width
 
 SIZE = 13
 BLOCK = 1 << 19
+CELL_BYTES = 32 << 20
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E6C63D0676A9A99, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
 
@@ -108,65 +110,125 @@ def window_keys(hashes: np.ndarray, first: np.ndarray, size: int = SIZE) -> tupl
     return starts, key
 
 
-def _cell(table: pa.Table, size: int):
-    """Rows of a cell by id: ids (null ones out), and for each block of texts (ids, first, starts, keys)."""
-    for a, z in W.blocks(offs := (b := W.buffers(table.column("text")))[1], BLOCK):
-        data, o = b[0][offs[a] : offs[z]], offs[a : z + 1] - offs[a]
-        starts, ends, first = W.spans(data, o)
-        at, keys = window_keys(W.word_hashes(data, starts, ends), first, size)
-        yield a, z, data, starts, ends, first, at, keys
-
-
 def _sorted(table: pa.Table) -> pa.Table:
+    """The rows with an id, by id."""
+    table = table.filter(table.column("doc_id").is_valid())
     ids = table.column("doc_id").to_numpy(zero_copy_only=False)
     return table.take(pa.array(np.argsort(ids, kind="stable")))
 
 
-def _sent(ids: np.ndarray, owners: np.ndarray, keys: np.ndarray, buckets: int):
-    """Order and bounds of the keys that a cell sends: the first of each key, by bucket, then key. Computed
-    alike when sending and when the answer comes."""
-    order = np.lexsort((owners, keys))  # stable: by key, then row, rows being in the order of ids
-    k = keys[order]
-    lead = np.ones(len(k), bool)
-    lead[1:] = k[1:] != k[:-1]
-    firsts = order[lead]
-    bucket = (keys[firsts] % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    return order, lead, firsts[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
+class Cell:
+    """The texts of a cell by id, as blocks of words; windows are numbered through all blocks."""
+
+    def __init__(self, table: pa.Table, size: int):
+        named = _sorted(table)
+        self.size, self.ids, self.blocks = size, named.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), []
+        bytes_, offs = W.buffers(named.column("text"))
+        for a, z in W.blocks(offs, BLOCK):
+            data, o = bytes_[offs[a] : offs[z]], offs[a : z + 1] - offs[a]
+            starts, ends, first = W.spans(data, o)
+            owner = np.repeat(np.arange(z - a), np.diff(first))
+            at = np.flatnonzero(np.arange(len(starts)) + size <= first[1:][owner]) if len(starts) else np.zeros(0, np.int64)
+            self.blocks.append((a, z, data, starts, ends, first, at, a + owner[at]))
+
+    def shared(self, buckets: int):
+        """The distinct keys by bucket, the bounds of the buckets, and each window's place among the keys."""
+        keys = [window_keys(W.word_hashes(data, starts, ends), first, self.size)[1] for _, _, data, starts, ends, first, _, _ in self.blocks]
+        own, at, count = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+        bucket = (own % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        place = np.empty(len(own), np.int64)
+        place[by] = np.arange(len(own))
+        return own[by], np.searchsorted(bucket[by], np.arange(buckets + 1)), place[at], count[by]
+
+    def digests(self, marked: np.ndarray, buckets: int):
+        """Of the marked windows: the rows they stand in and, by digest, their order, which of them is the first of its
+        digest, those firsts by bucket and the bounds of the buckets, and both lanes. Alike when sending and when told."""
+        lanes, owners, done = ([], []), [], 0
+        for _, _, data, starts, ends, first, at, owner in self.blocks:
+            own = marked[done : done + len(at)]
+            done += len(at)
+            owners.append(owner[own])
+            for lane, out in enumerate(lanes):
+                out.append(W.windows(W.word_hashes(data, starts, ends, lane), first, self.size)[0][at[own]] if own.any() else np.zeros(0, np.uint64))
+        one, two = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in lanes)
+        order = np.lexsort((two, one))  # stable: rows are in the order of ids
+        lead = np.ones(len(order), bool)
+        lead[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        firsts = order[lead]
+        bucket = (one[firsts] % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        return owners, order, lead, firsts[by], np.searchsorted(bucket[by], np.arange(buckets + 1)), one, two
+
+
+ASKED = "cell int, bucket int, keys binary, owners binary"
+TOLD = "cell int, bucket int, told binary"
+
 
+def _bits(table: pa.Table, bounds: np.ndarray) -> np.ndarray:
+    """The answers of all buckets, in the order in which the questions were sent."""
+    out = np.zeros(int(bounds[-1]), bool)
+    for bucket, blob in zip(table.column("bucket").to_pylist(), table.column("told").to_pylist(), strict=True):
+        if bucket >= 0:
+            a, z = bounds[bucket], bounds[bucket + 1]
+            out[a:z] = np.unpackbits(np.frombuffer(blob, np.uint8), count=z - a).astype(bool)
+    return out
 
-def _all_keys(table: pa.Table, size: int):
-    owners, keys, pieces = [], [], []
-    for a, z, data, starts, ends, first, at, k in _cell(table, size):
-        owners.append(a + np.searchsorted(first, at, side="right") - 1)
-        keys.append(k)
-        pieces.append((a, z, data, starts, ends, first, at))
-    return np.concatenate(owners) if owners else np.zeros(0, np.int64), np.concatenate(keys) if keys else np.zeros(0, np.uint64), pieces
 
+def _questions(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["cell", "bucket", "keys", "owners"])
+
+
+def _reveals(size: int, buckets: int):
+    """Keys of a cell, five bytes of what the bucket's number doesn't tell."""
 
-def _asks(size: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        table = _sorted(table.filter(table.column("doc_id").is_valid()))
-        ids = table.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        owners, keys, _ = _all_keys(table, size)
-        _, _, firsts, bounds = _sent(ids, owners, keys, buckets)
-        some = [i for i in range(buckets) if bounds[i] < bounds[i + 1]]
-        blobs = [(keys[f := firsts[bounds[i] : bounds[i + 1]]].tobytes(), owners[f].astype(np.int32).tobytes()) for i in some]
-        cell = table.column("cell")[0].as_py() if len(table) else 0
-        ids_blob = ids.tobytes()
-        return pa.table(
-            [pa.array([cell] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([b[0] for b in blobs], pa.binary()), pa.array([_ids_of(b[1], ids_blob) for b in blobs], pa.binary())],
-            ["cell", "bucket", "keys", "owners"],
-        )
+        keys, bounds, _, _ = Cell(table, size).shared(buckets)
+        five = np.ascontiguousarray((keys // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :5])
+        cell = table.column("cell")[0].as_py()
+        return _questions([(cell, i, five[bounds[i] : bounds[i + 1]].tobytes(), None) for i in range(buckets) if bounds[i] < bounds[i + 1]])
+
+    return run
+
+
+def _shared(blobs: list[bytes], owners: list) -> list[np.ndarray]:
+    """Of each blob, which keys stand in another one too."""
+    parts = [np.frombuffer(b, np.uint8).reshape(-1, 5) for b in blobs]
+    wide = np.zeros((sum(map(len, parts)), 8), np.uint8)
+    wide[:, :5] = np.concatenate(parts)
+    keys = wide.view(np.uint64).ravel()
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    out = np.zeros(len(keys), bool)
+    out[order] = np.append(same, False) | np.append(False, same)
+    return np.split(out, np.cumsum([len(p) for p in parts])[:-1])
+
+
+def _verifies(size: int, buckets: int):
+    """Digests of the windows that may repeat, with the least id of each; and, to the cell itself, which windows these are."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        cell = Cell(docs, size)
+        keys, bounds, place, count = cell.shared(buckets)
+        marked = (_bits(answers, bounds) | (count > 1))[place] if len(keys) else np.zeros(0, bool)
+        owners, _, _, firsts, bounds, one, two = cell.digests(marked, buckets)
+        number = docs.column("cell")[0].as_py()
+        rows = [(number, -1 - number, np.packbits(marked).tobytes(), None)]
+        for i in range(buckets):
+            f = firsts[bounds[i] : bounds[i + 1]]
+            if len(f):
+                rows.append((number, i, np.column_stack([one[f], two[f]]).tobytes(), _ids_of(cell.ids[owners[f]])))
+        return _questions(rows)
 
     return run
 
 
-def _ids_of(rows: bytes, ids: bytes) -> bytes:
-    """The ids of rows, as the distinct ones and an index of two or four bytes each."""
-    own, at = np.unique(np.frombuffer(ids, np.int64)[np.frombuffer(rows, np.int32)], return_inverse=True)
-    small = len(own) < 1 << 16
-    return len(own).to_bytes(4, "little") + own.tobytes() + at.astype(np.uint16 if small else np.uint32).tobytes()
+def _ids_of(ids: np.ndarray) -> bytes:
+    """Ids as the distinct ones and an index of two or four bytes each."""
+    own, at = np.unique(ids, return_inverse=True)
+    return len(own).to_bytes(4, "little") + own.tobytes() + at.astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes()
 
 
 def _ids_back(blob: bytes) -> np.ndarray:
@@ -175,61 +237,63 @@ def _ids_back(blob: bytes) -> np.ndarray:
     return own[np.frombuffer(blob, np.uint16 if n < 1 << 16 else np.uint32, offset=4 + 8 * n)]
 
 
-def _answer(cells: list[int], blobs: list[bytes], owners: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    parts = [np.frombuffer(b, np.uint64) for b in blobs]
-    keys = np.concatenate(parts)
-    ids = np.concatenate([_ids_back(o) for o in owners])
-    order = np.lexsort((ids, keys))
+def _later(blobs: list[bytes], owners: list[bytes]) -> list[np.ndarray]:
+    """Of each blob, which digests a smaller id has."""
+    parts = [np.frombuffer(b, np.uint64).reshape(-1, 2) for b in blobs]
+    keys, ids = np.concatenate(parts), np.concatenate([_ids_back(o) for o in owners])
+    order = np.lexsort((ids, keys[:, 1], keys[:, 0]))
     k, d = keys[order], ids[order]
     lead = np.ones(len(k), bool)
-    lead[1:] = k[1:] != k[:-1]
-    least = d[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-    repeat = np.zeros(len(keys), bool)
-    repeat[order] = d > least
-    at = 0
-    for c, p in zip(cells, parts, strict=True):
-        yield c, np.packbits(repeat[at : at + len(p)]).tobytes()
-        at += len(p)
-
-
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: one bucket's keys at a time."""
-    held: list[list] = [[], [], []]
-    now = None
-
-    def out():
-        rows = list(_answer(*held))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([now] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["cell", "bucket", "repeats"])
-
-    for batch in batches:
-        for cell, bucket, keys, owners in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if bucket != now:
-                if held[0]:
+    lead[1:] = (k[1:] != k[:-1]).any(axis=1)
+    out = np.zeros(len(k), bool)
+    out[order] = d > d[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+    return np.split(out, np.cumsum([len(p) for p in parts])[:-1])
+
+
+def _answered(decide):
+    """Rows sorted by bucket: one bucket's questions at a time; what a cell sends itself passes."""
+
+    @W.released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def out() -> pa.RecordBatch:
+            cells, blobs, owners = zip(*held, strict=True)
+            told = [blobs[0]] if now < 0 else [np.packbits(x).tobytes() for x in decide(list(blobs), list(owners))]
+            return pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array([now] * len(cells), pa.int32()), pa.array(told, pa.binary())], ["cell", "bucket", "told"])
+
+        for batch in batches:
+            for cell, bucket, keys, owners in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if bucket != now and held:
                     yield out()
-                held, now = [[], [], []], bucket
-            for h, v in zip(held, (cell, keys, owners), strict=True):
-                h.append(v)
-    if held[0]:
-        yield out()
+                    held = []
+                now = bucket
+                held.append((cell, keys, owners))
+        if held:
+            yield out()
+
+    return run
 
 
 def _removed(size: int, buckets: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        named = _sorted(docs.filter(docs.column("doc_id").is_valid()))
-        ids = named.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        owners, keys, pieces = _all_keys(named, size)
-        order, lead, firsts, bounds = _sent(ids, owners, keys, buckets)
-        told = np.zeros(len(keys), bool)
-        for bucket, blob in zip(answers.column("bucket").to_pylist(), answers.column("repeats").to_pylist(), strict=True):
-            f = firsts[bounds[bucket] : bounds[bucket + 1]]
-            told[f] = np.unpackbits(np.frombuffer(blob, np.uint8), count=len(f)).astype(bool)
-        # a window is a repeat if its key is one elsewhere, or if a smaller id of this cell has it
+        cell = Cell(docs, size)
+        windows = sum(len(b[6]) for b in cell.blocks)
+        own = next((t for b, t in zip(answers.column("bucket").to_pylist(), answers.column("told").to_pylist(), strict=True) if b < 0), b"")
+        marked = np.unpackbits(np.frombuffer(own, np.uint8), count=windows).astype(bool)
+        owners, order, lead, firsts, bounds, _, _ = cell.digests(marked, buckets)
+        told = np.zeros(len(order), bool)
+        told[firsts] = _bits(answers, bounds)
+        # a window is a repeat if its digest is one elsewhere, or if a smaller id of this cell has it
         head = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]] if len(order) else order
-        repeat = np.zeros(len(keys), bool)
-        repeat[order] = told[head] | (ids[owners[order]] > ids[owners[head]])
+        later = np.zeros(len(order), bool)
+        later[order] = told[head] | (cell.ids[owners[order]] > cell.ids[owners[head]])
+        repeat = np.zeros(windows, bool)
+        repeat[marked] = later
         rows: list[tuple] = []
         done = 0
-        for a, z, data, starts, ends, first, at in pieces:
+        for a, z, data, starts, ends, first, at, _ in cell.blocks:
             cover = np.zeros(len(starts) + 1, np.int64)
             hit = at[repeat[done : done + len(at)]]
             done += len(at)
@@ -240,7 +304,7 @@ def _removed(size: int, buckets: int):
             for i in range(z - a):
                 s, e = int(first[i]), int(first[i + 1])
                 kept = [raw[starts[w] : ends[w]] for w in (np.flatnonzero(~gone[s:e]) + s).tolist()]
-                rows.append((int(ids[a + i]), e - s, e - s - len(kept), b" ".join(kept)))
+                rows.append((int(cell.ids[a + i]), e - s, e - s - len(kept), b" ".join(kept)))
         for t in docs.filter(docs.column("doc_id").is_null()).column("text").to_pylist():
             data, o = W.buffers(pa.array([t], pa.string()))
             s, e, _ = W.spans(data, o)
@@ -255,8 +319,14 @@ def _removed(size: int, buckets: int):
 def deduplicated(docs: DataFrame, size: int = SIZE, cells_a_partition: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by spaces) of every row."""
     n = width(docs.sparkSession)
-    cells = buckets = n * cells_a_partition
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("cell"))
-    asks = rows.groupBy("cell").applyInArrow(_asks(size, buckets), "cell int, bucket int, keys binary, owners binary")
-    answers = asks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answers, "cell int, bucket int, repeats binary")
-    return rows.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(_removed(size, buckets), "doc_id long, n_words long, n_removed long, kept string")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = buckets = max(n * cells_a_partition, -(-total // CELL_BYTES))
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.pmod(spread, F.lit(cells)).cast("int").alias("cell"))
+
+    def answers(asked: DataFrame, decide) -> DataFrame:
+        return asked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answered(decide), TOLD)
+
+    revealed = answers(rows.groupBy("cell").applyInArrow(_reveals(size, buckets), ASKED), _shared)
+    verified = answers(rows.groupBy("cell").cogroup(revealed.groupBy("cell")).applyInArrow(_verifies(size, buckets), ASKED), _later)
+    return rows.groupBy("cell").cogroup(verified.groupBy("cell")).applyInArrow(_removed(size, buckets), "doc_id long, n_words long, n_removed long, kept string")
