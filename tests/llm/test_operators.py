@@ -540,12 +540,64 @@ def spelled(tree):
     return out
 
 
-def test_license_prefilters_pass_every_name_and_identifier():
+def spelled_once(pattern):
+    """One string that a signature of a body matches."""
+    out = re.sub(r"\(\?:\[\^ \]\+ \)\{1,\d+\}", "some body ", pattern)
+    out = re.sub(r"\(\?:[^()|]*\)\?", "", re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(?!\?)", r"\1", re.sub(r"\(\?:[^()]*\)\?", "", out)))
+    return re.sub(r"\[(.)[^\]]*\]", r"\1", re.sub(r".\?", "", out))
+
+
+def test_license_gates_pass_every_name_identifier_and_body():
     for label, (names, _, identifiers) in licenses.LICENSES.items():
         texts = spelled(re._parser.parse(names)) + [f"spdx license identifier {x}" for x in spelled(re._parser.parse(identifiers))]
         for t in texts:
-            assert licenses._with_leads(t.encode(), np.array([0, len(t)])).all() and licenses.detections(f" {t} ".encode()), (label, t)
+            assert licenses.scan(t.encode())[2], (label, t)
+    for label, pattern, _ in licenses.BODIES:
+        assert re.fullmatch(pattern, t := spelled_once(pattern)), pattern
+        assert licenses.scan(f"X {t}. Y".encode())[2] & {label, "bsd", "isc", "mit", "gpl", "curl", "cc-by", "wtfpl", "apache"}, (label, t)
     assert licenses.scan(b"Released under the ASL 2.0")[2] == {"apache"}
+    assert len(licenses.signatures()) > 400
+
+
+def test_license_gates_lose_nothing():
+    """With and without gates, from one text and from a block of texts."""
+    rng = random.Random(1)
+    pieces = [t for names, _, _ in licenses.LICENSES.values() for t in spelled(re._parser.parse(names))] + [spelled_once(p) for _, p, _ in licenses.BODIES] + ["licensed under", "see the", "version 2.0 or later", "mit der", "General\tPublic", "é ", "x" * 30]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    low = "".join(texts).encode().translate(licenses._TABLE)
+    offs = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    found, every = licenses._found(low, offs), frozenset(w for _, _, gates, _ in licenses.signatures() for g in gates for w in g)
+    for i, t in enumerate(texts):
+        norm = b" " + b" ".join(t.encode().translate(licenses._TABLE).split()) + b" "
+        got = licenses.detections(norm, found.get(i, set()))
+        assert got == licenses.detections(norm, every)
+
+
+def test_license_suppression_equals_all_pairs():
+    rng = random.Random(6)
+    for _ in range(300):
+        found = {(a := rng.randint(0, 40), a + rng.randint(1, 15), rng.choice([60, 70, 90]), rng.choice("ab")) for _ in range(rng.randint(0, 40))}
+        order = sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[0], d[3]))
+        index, got, want = licenses._Kept(sorted({d[0] for d in found})), [], []
+        for d in order:
+            if not index.covers(d[0], d[1]):
+                index.add(d[0], d[1])
+                got.append(d)
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in want):
+                want.append(d)
+        assert got == want
+
+
+def test_licenses_of_repetitive_texts_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        licenses.scan(b"mit license, gnu general public license v2 " * n)
+        return time.process_time() - began
+
+    short = min(took(1000) for _ in range(3))
+    assert took(16000) < 40 * short
 
 
 def test_quality_measures(spark, docs, none):

@@ -1,26 +1,27 @@
 """License scans by ordered signature rules.
 
 Signatures are regexes over the text's words (lower case, ASCII punctuation dropped, one space
-between). Each has a label, a priority and a gate: a word stem that must occur before the regex is
-tried, and no regex is tried on a text without any stem. Where detections overlap, one whose words lie
-within those of a detection of higher priority (or of equal priority and greater length) is
-suppressed. Base phrases are always reported, whatever the rules say.
-
-The signatures are built from a table of licenses (names as regexes, versions, identifier) and a
-table of wordings; several hundred result.
+between), each with a label, a priority and a keyword gate. Some spell sentences of license bodies; the others are
+built from a table of licenses (names as regexes, versions, identifier) and a table of wordings. One Aho-Corasick pass
+finds which keywords a text has; a regex is tried only where all keywords of one of its alternatives are there.
+Where detections overlap, one whose words lie within those of a detection of higher priority (or of equal priority and
+greater length) is suppressed; an index of the kept intervals by start answers that in logarithmic time. Base
+phrases are always reported, whatever the rules say.
 
 Score: the chance that some kept detection is right, 1 - prod(1 - priority / 100); 0 without any.
 
-Edge cases: a null text is empty; a text without words has nothing; of two equal detections (same
-words, priority and length) the label first in the alphabet stays; null ids, repeated rows and further
-columns pass.
+Edge cases: a null text is empty; a text without words has nothing; very long and repetitive texts take time in
+proportion to their length, but for a logarithm; of two equal detections (same words, priority and length) the label
+first in the alphabet stays; null ids, repeated rows and further columns pass.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -100,87 +101,226 @@ LICENSES: dict[str, tuple[str, str, str]] = {
     "proprietary": (r"all rights reserved|proprietary and confidential", r"", r"proprietary"),
 }
 
-#: wording -> (regex around {name}, {version}, {spdx}; gate; priority)
-WORDINGS: list[tuple[str, str, int]] = [
-    (r"spdx licen[sc]e identifier {spdx}", "spdx", 98),
-    (r"licen[sc]ed(?: to you)? under (?:the )?(?:terms of (?:the )?)?(?:{name}){version}", "licen", 95),
-    (r"(?:released|distributed|available|published|provided|redistribute it(?: and or modify it)?) under (?:the )?(?:terms of (?:the )?)?(?:{name}){version}", "under", 90),
-    (r"(?:subject|according) to (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name}){version}", "to", 85),
-    (r"(?:see|read) (?:the )?(?:file )?(?:{name}){version}(?: for (?:more )?details)?", "see", 70),
-    (r"(?:{name}){version}", "", 60),
+#: (regex around {name}, {version}, {spdx}; priority)
+WORDINGS: list[tuple[str, int]] = [
+    (r"spdx licen[sc]e identifier {spdx}", 98),
+    (r"licen[sc]ed(?: to you)? under (?:the )?(?:terms of (?:the )?)?(?:{name}){version}", 95),
+    (r"(?:released|distributed|available|published|provided|redistribute it(?: and or modify it)?) under (?:the )?(?:terms of (?:the )?)?(?:{name}){version}", 90),
+    (r"(?:subject|according) to (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name}){version}", 85),
+    (r"(?:see|read) (?:the )?(?:file )?(?:{name}){version}(?: for (?:more )?details)?", 70),
+    (r"(?:{name}){version}", 60),
+]
+
+#: (label, sentence of the license's body or its usual notice as a regex, priority)
+BODIES: list[tuple[str, str, int]] = [
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 94),
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 92),
+    ("mit", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish", 93),
+    ("x11", r"except as contained in this notice the name of (?:[^ ]+ ){1,6}shall not be used in advertising or otherwise to promote", 95),
+    ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 94),
+    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", 88),
+    ("bsd", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 86),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice this list of conditions", 86),
+    ("bsd", r"this software is provided by the (?:copyright holders?|author|regents)(?: and contributors)? as is and any express or implied warranties", 84),
+    ("bsd-3-clause", r"neither the names? of (?:[^ ]+ ){1,8}nor the names of (?:its|their|the) contributors may be used to endorse or promote products derived from this software", 95),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 96),
+    ("0bsd", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is", 96),
+    ("apache", r"you may not use this file except in compliance with the licen[sc]e you may obtain a copy of the licen[sc]e at", 93),
+    ("apache", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[sc]e", 95),
+    ("apache", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis", 92),
+    ("gpl", r"you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e", 96),
+    ("gpl", r"the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works", 97),
+    ("gpl", r"the licen[sc]es for most software are designed to take away your freedom to share and change it", 95),
+    ("gpl", r"you should have received a copy of the gnu general public licen[sc]e along with this program", 94),
+    ("lgpl", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e", 97),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e along with this", 95),
+    ("agpl", r"you can redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e", 97),
+    ("agpl", r"specifically designed to ensure cooperation with the community in the case of network server software", 96),
+    ("gfdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e", 97),
+    ("mpl", r"this source code form is subject to the terms of the mozilla public licen[sc]e", 97),
+    ("mpl", r"the contents of this file are subject to the mozilla public licen[sc]e", 96),
+    ("mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at", 95),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e", 97),
+    ("epl", r"the accompanying program is provided under the terms of this eclipse public licen[sc]e", 97),
+    ("cpl", r"the accompanying program is provided under the terms of this common public licen[sc]e", 97),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e", 97),
+    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", 91),
+    ("zlib", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 94),
+    ("zlib", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software", 94),
+    ("boost", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 96),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", 97),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", 95),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document and changing it is allowed", 93),
+    ("wtfpl", r"you just do what the fuck you want to", 94),
+    ("cc0", r"to the extent possible under law (?:[^ ]+ ){1,10}has waived all copyright and related or neighboring rights", 96),
+    ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain", 95),
+    ("cc-by", r"you are free to share copy and redistribute the material in any medium or format", 80),
+    ("cc-by", r"you must give appropriate credit provide a link to the licen[sc]e and indicate if changes were made", 85),
+    ("cc-by-sa", r"if you remix transform or build upon the material you must distribute your contributions under the same licen[sc]e as the original", 94),
+    ("cc-by-nc", r"you may not use the material for commercial purposes", 90),
+    ("cc-by-nd", r"if you remix transform or build upon the material you may not distribute the modified material", 94),
+    ("artistic", r"the intent of this document is to state the conditions under which a package may be copied", 95),
+    ("artistic", r"everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document but changing it is not allowed this licen[sc]e establishes the terms", 95),
+    ("ncsa", r"to deal with the software without restriction including without limitation the rights to use", 94),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 95),
+    ("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit", 96),
+    ("ssleay", r"this product includes cryptographic software written by eric young", 95),
+    ("ofl", r"the goals of the open font licen[sc]e (?:ofl )?are to stimulate worldwide development of collaborative font projects", 97),
+    ("ofl", r"this font software is licen[sc]ed under the sil open font licen[sc]e", 97),
+    ("ms-pl", r"this licen[sc]e governs use of the accompanying software if you use the software you accept this licen[sc]e", 93),
+    ("eupl", r"licen[sc]ed under the eupl version (?:[^ ]+ ){1,8}you may not use this work except in compliance with the licence", 97),
+    ("osl", r"licen[sc]ed under the open software licen[sc]e version", 96),
+    ("afl", r"licen[sc]ed under the academic free licen[sc]e version", 96),
+    ("php", r"this product includes php software freely available from", 94),
+    ("python", r"psf is making python available to licensee on an as is basis", 96),
+    ("python", r"psf hereby grants licensee a nonexclusive royalty free world ?wide licen[sc]e", 96),
+    ("w3c", r"permission to copy modify and distribute this work with or without modification for any purpose and without fee or royalty is hereby granted", 95),
+    ("curl", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", 94),
+    ("ijg", r"this software is based in part on the work of the independent jpeg group", 96),
+    ("ftl", r"portions of this software are copyright (?:[^ ]+ ){1,6}the freetype project", 95),
+    ("unicode", r"permission is hereby granted free of charge to any person obtaining a copy of the unicode data files and any associated documentation", 97),
+    ("icu", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction provided that", 95),
+    ("json", r"the software shall be used for good not evil", 97),
+    ("beerware", r"if we meet some day and you think this stuff is worth it you can buy me a beer in return", 97),
+    ("sspl", r"if you make the functionality of the program or a modified version available to third parties as a service", 95),
+    ("busl", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", 96),
+    ("elastic", r"you may not provide the software to third parties as a hosted or managed service", 95),
+    ("odbl", r"this database is made available under the open database licen[sc]e", 97),
+    ("public-domain", r"(?:has been|is hereby|is) (?:released|placed|dedicated) (?:in|into|to) the public domain", 85),
+    ("public-domain", r"the authors? (?:hereby )?disclaims? copyright to this source code", 92),
+    ("proprietary", r"unauthori[sz]ed (?:copying|reproduction|use)(?: or distribution)? of this (?:file|software|document|program)(?: via any medium)? is strictly prohibited", 90),
+    ("proprietary", r"no part of this (?:publication|document|book|work) may be reproduced(?: stored in a retrieval system)?(?: distributed)? or transmitted in any form", 90),
+    ("proprietary", r"this (?:document|software|file) contains (?:confidential and )?proprietary information", 88),
+    ("no-license", r"all rights (?:are )?reserved no licen[sc]e is granted", 88),
 ]
 
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 _WORD = np.array([c != 32 for c in _TABLE])
-#: stems of which a text must have one before any regex is tried
-_STEMS = re.compile(rb"licen[sc]e|spdx|cc by|cc0|gpl|gfdl|mpl|epl|eupl|cddl|wtfpl|sspl|odbl|ms pl|ms rl|creative commons|public domain|all rights reserved|proprietary and|same terms as perl|bsd [234] clause| asl ")
+def _keywords(pattern: str) -> frozenset[str]:
+    """Leading letters of the words that every match of an alternative must have; the three longest."""
+    plain = pattern
+    while (shorter := re.sub(r"\((?:\?:)?[^()]*\)(?:\?|\{[^}]*\})?", " ", plain)) != plain:
+        plain = shorter
+    stems = [m[0] for w in plain.split() if (m := re.match(r"[a-z0-9]{2,}(?![?])|[a-z0-9]{2,}(?=[a-z0-9]\?)", re.sub(r"[a-z0-9]\?.*|\[.*", "", w))) is not None]
+    return frozenset(sorted(stems, key=lambda x: (-len(x), x))[:3])
+
 
+def _alternatives(pattern: str) -> list[str]:
+    depth, out = 0, [""]
+    for c in pattern:
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
 
-def signatures() -> list[tuple[str, int, bytes, re.Pattern]]:
-    """(label, priority, gate, regex) of every rule, by descending priority."""
+
+def signatures() -> list[tuple[str, int, list[frozenset[str]], re.Pattern]]:
+    """(label, priority, gates, regex) of every rule; all keywords of some gate must be in a text."""
     out = []
     for label, (name, versions, spdx) in LICENSES.items():
         version = rf"(?:,? ?(?:version |v)?(?:{versions})(?: or (?:any )?(?:later|newer)(?: version)?)?)?" if versions else ""
-        for wording, gate, priority in WORDINGS:
-            text = wording.replace("{spdx}", spdx).replace("{name}", name).replace("{version}", version)
-            out.append((label, priority, gate.encode(), re.compile(b" " + text.encode() + b"(?= )")))
+        for wording, priority in WORDINGS:
+            text = wording.replace("{spdx}", f"(?:{spdx})").replace("{name}", name).replace("{version}", version)
+            lead = wording.split("(?:{name})")[0] if "{name}" in wording else "spdx"
+            gates = [_keywords(f"{lead} {x}") | _keywords(x) for x in (_alternatives(name) if "{name}" in wording else [""])]
+            out.append((label, priority, gates, re.compile(b" (?:" + text.encode() + b")(?= )")))
+    for label, text, priority in BODIES:
+        out.append((label, priority, [_keywords(text)], re.compile(b" (?:" + text.encode() + b")(?= )")))
     return sorted(out, key=lambda s: (-s[1], s[0]))
 
 
-_rules: list = []
-_named = re.compile(b" (?:" + "|".join(n for n, _, _ in LICENSES.values()).encode() + b"|spdx)(?= )")
+_state: dict = {}
+
+
+def _rules():
+    """Rules, and the automaton of their keywords and the base phrases' words, once a process."""
+    if not _state:
+        _state["rules"] = signatures()
+        words = {k for _, _, gates, _ in _state["rules"] for g in gates for k in g} | {w for p in BASE for w in p.split()}
+        found = ahocorasick.Automaton()
+        for w in sorted(words):
+            found.add_word(" " + w, w)
+        found.make_automaton()
+        _state["keywords"] = found
+    return _state["rules"], _state["keywords"]
 
 
-def detections(norm: bytes) -> list[tuple[int, int, int, str]]:
+class _Kept:
+    """Intervals with distinct starts known beforehand; whether one contains another (a tree of greatest ends by start)."""
+
+    def __init__(self, starts: list[int]):
+        self.starts, self.ends = starts, [-1] * (len(starts) + 1)
+
+    def covers(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, start) + 1
+        while i > 0:
+            if self.ends[i] >= end:
+                return True
+            i -= i & -i
+        return False
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_left(self.starts, start) + 1
+        while i < len(self.ends):
+            self.ends[i] = max(self.ends[i], end)
+            i += i & -i
+
+
+def detections(norm: bytes, keywords: set[str] | frozenset[str]) -> list[tuple[int, int, int, str]]:
     """(start byte, end byte, priority, label) kept from words joined by spaces, a space on both sides."""
-    if not _rules:
-        _rules.extend(signatures())
-    if not _STEMS.search(norm) or not _named.search(norm):
-        return []
-    gates: dict[bytes, bool] = {}
-    found = []
-    for label, priority, gate, pattern in _rules:
-        if gate and not gates.setdefault(gate, gate in norm):
-            continue
-        found += [(m.start(), m.end(), priority, label) for m in pattern.finditer(norm)]
-    kept: list[tuple[int, int, int, str]] = []
-    for d in sorted(set(found), key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+    found = set()
+    for label, priority, gates, pattern in _rules()[0]:
+        if any(g <= keywords for g in gates):
+            found.update((m.start(), m.end(), priority, label) for m in pattern.finditer(norm))
+    kept, index = [], _Kept(sorted({d[0] for d in found}))
+    for d in sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
+        if not index.covers(d[0], d[1]):
             kept.append(d)
+            index.add(d[0], d[1])
     return kept
 
 
-def scan(raw: bytes) -> tuple[list[int], set[str], set[str], float]:
-    """Starts of base phrases, base labels, all labels, score."""
-    words = raw.translate(_TABLE).split()
-    norm = b" " + b" ".join(words) + b" "
-    places, base = [], set()
+def scan(raw: bytes, keywords: set[str] | frozenset[str] | None = None) -> tuple[list[int], set[str], set[str], float]:
+    """Starts of base phrases, base labels, all labels, score. ``keywords`` are those that the text has, if known."""
+    low = raw.translate(_TABLE)
+    if keywords is None:
+        keywords = {w for _, w in _rules()[1].iter(" " + low.decode("latin-1"))}
+    norm = b" " + b" ".join(low.split()) + b" "
+    hits, base = [], set()
     for phrase, label in BASE.items():
         needle, at = b" " + phrase.encode() + b" ", -1
         while (at := norm.find(needle, at + 1)) >= 0:
-            places.append(norm.count(b" ", 0, at))
+            hits.append(at)
             base.add(label)
-    kept = detections(norm)
+    places, number, last = [], 0, 0
+    for at in sorted(hits):
+        number, last = number + norm.count(b" ", last, at), at
+        places.append(number)
+    kept = detections(norm, keywords)
     miss = 1.0
     for d in kept:
         miss *= 1 - d[2] / 100
     return places, base, base | {d[3] for d in kept}, 1 - miss
 
 
-#: one of these stands in every text that has a detection or a base phrase
-_LEADS = [b"licen", b"spdx", b"cc ", b"cc0", b"gpl", b"gfdl", b"mpl", b"epl", b"eupl", b"cddl", b"wtfpl", b"sspl", b"odbl", b"ms ", b"creative", b"domain", b"reserved", b"proprietary", b"perl", b"bsd", b"asl"]
-
-
-def _with_leads(low: bytes, offs: np.ndarray) -> np.ndarray:
-    """Which texts of a block have one of the leads; an occurrence across two texts does no harm."""
-    hit = np.zeros(len(offs) - 1, bool)
-    for lead in _LEADS:
-        at = low.find(lead)
-        while at >= 0:
-            doc = int(np.searchsorted(offs, at, side="right")) - 1
-            hit[doc] = True
-            at = low.find(lead, max(at + 1, int(offs[doc + 1]) - len(lead)))
-    return hit
+def _found(low: bytes, offs: np.ndarray) -> dict[int, set[str]]:
+    """Keywords of the texts of a block that have any; one that starts with a text is looked for by itself."""
+    out: dict[int, set[str]] = {}
+    hits = list(_rules()[1].iter(low.decode("latin-1")))
+    if hits:
+        at = np.fromiter((i for i, _ in hits), np.int64, len(hits))
+        for doc, (_, w) in zip((np.searchsorted(offs, at, side="right") - 1).tolist(), hits, strict=True):
+            out.setdefault(doc, set()).add(w)
+    longest = max(map(len, _rules()[1].values()))
+    for doc, (a, z) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+        head = low[a : min(z, a + longest)]
+        if head[:1] not in (b" ", b""):
+            for i, w in _rules()[1].iter(" " + head.decode("latin-1")):
+                if i == len(w):
+                    out.setdefault(doc, set()).add(w)
+    return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +340,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.cumsum(first, out=sums[1:])
                 n[a:z] = sums[o[1:]] - sums[o[:-1]]
             raw = own.tobytes()
-            for s, e, hit in zip(o[:-1].tolist(), o[1:].tolist(), _with_leads(raw.translate(_TABLE), o).tolist(), strict=True):
-                places, base, labels, score = scan(raw[s:e]) if hit else ([], (), (), 0.0)
+            found = _found(raw.translate(_TABLE), o)
+            for doc, (s, e) in enumerate(zip(o[:-1].tolist(), o[1:].tolist(), strict=True)):
+                places, base, labels, score = scan(raw[s:e], found[doc]) if doc in found else ([], (), (), 0.0)
                 for c, v in zip(cols, (len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score), strict=True):
                     c.append(v)
         kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.float64()]
