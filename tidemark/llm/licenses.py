@@ -196,13 +196,18 @@ BODIES: list[tuple[str, str, int]] = [
 
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 _WORD = np.array([c != 32 for c in _TABLE])
+#: words that are no keywords where there are others
+_COMMON = frozenset("a all an and any are as at be by for if in is it its nd not of on or see that the this to under version with you".split())
+
+
 def _keywords(pattern: str) -> frozenset[str]:
     """Leading letters of the words that every match of an alternative must have; the three longest."""
     plain = pattern
     while (shorter := re.sub(r"\((?:\?:)?[^()]*\)(?:\?|\{[^}]*\})?", " ", plain)) != plain:
         plain = shorter
     stems = [m[0] for w in plain.split() if (m := re.match(r"[a-z0-9]{2,}(?![?])|[a-z0-9]{2,}(?=[a-z0-9]\?)", re.sub(r"[a-z0-9]\?.*|\[.*", "", w))) is not None]
-    return frozenset(sorted(stems, key=lambda x: (-len(x), x))[:3])
+    rare = [x for x in stems if x not in _COMMON]
+    return frozenset(sorted(rare or stems, key=lambda x: (-len(x), x))[:3])
 
 
 def _alternatives(pattern: str) -> list[str]:
@@ -238,7 +243,7 @@ def _rules():
     """Rules, and the automaton of their keywords and the base phrases' words, once a process."""
     if not _state:
         _state["rules"] = signatures()
-        words = {k for _, _, gates, _ in _state["rules"] for g in gates for k in g} | {w for p in BASE for w in p.split()}
+        words = {k for _, _, gates, _ in _state["rules"] for g in gates for k in g} | {max(p.split(), key=lambda w: (w not in _COMMON, len(w))) for p in BASE}
         found = ahocorasick.Automaton()
         for w in sorted(words):
             found.add_word(" " + w, w)
