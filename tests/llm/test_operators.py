@@ -464,6 +464,72 @@ def test_fingerprints(spark, docs, none):
     assert fingerprints.edited(none).count() == 0 and fingerprints.edited(named.limit(1)).count() == 1
 
 
+def plain_fingerprint(raw):
+    """Features byte window by byte window, filters as sets of bits."""
+    from collections import Counter
+    from math import log2
+
+    from tidemark.llm import words as W
+
+    n, f = len(raw), fingerprints
+    weight = [0] + [round(c * log2(c) * (1 << 24)) for c in range(1, 17)]
+    if n < 4:
+        features = [raw] if n else []
+    elif n < 64:
+        features = [raw[i : i + 4] for i in range(n - 3)]
+    else:
+        worth = []
+        for i in range(n - 15):
+            q = 1000 - sum(weight[c] for c in Counter(raw[i : i + 16]).values()) * 1000 // weight[16]
+            worth.append(0 if q < f.LOW else abs(q - f.USUAL) + 1)
+        votes = Counter(max(range(i, i + 16), key=lambda k: (worth[k], -k)) for i in range(len(worth) - 15))
+        features = [raw[i : i + 16] for i in range(len(worth)) if votes[i] >= f.WINS and worth[i]]
+        features = features or list(dict.fromkeys(raw[i : i + 4] for i in range(n - 3)))
+    hashes = [int(W.word_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]) for x in features]
+    return [(len(part), {(h >> 11 * j) % 2048 for h in part for j in range(5)}) for part in (hashes[i : i + 160] for i in range(0, len(hashes), 160))]
+
+
+def plain_likeness(x, y):
+    if not x or not y:
+        return float(len(x) == len(y))
+    if len(x) > len(y):
+        x, y = y, x
+
+    def alike(a, b):
+        chance, most = len(a) * len(b) / 2048, min(len(a), len(b))
+        return min(1.0, max(0.0, (len(a & b) - chance) / (most - chance))) if most > chance else float(len(a & b) >= most)
+
+    return sum(size * max(alike(a, b) for _, b in y) for size, a in x) / sum(size for size, _ in x)
+
+
+def test_fingerprints_equal_a_plain_version(spark):
+    """Prose, code, other scripts, low entropy, short texts; ids of both ends, repeated and null."""
+    rng = random.Random(2)
+    texts = ["a" * 1000, "b" * 1000, "ab" * 500, "", None, "é", "abc", "abcd" * 3, "x = [i for i in range(10)]\n" * 20, "Ναι, και όχι. " * 30, "漢字かな混じり文" * 40, "0" * 63, "0" * 64]
+    texts += ["".join(chr(rng.choice([32, 97, 101, 0x3B1, 0x4E00 + rng.randint(0, 99), rng.randint(33, 126)])) for _ in range(rng.randint(0, 700))) for _ in range(30)] + [" ".join(f"w{rng.randint(0, 999)}" for _ in range(3000))]
+    ids = [-(1 << 63), (1 << 63) - 1, None, None, 5, 5, 5, *range(100, 100 + len(texts) - 7)]
+    table = list(zip(ids, texts, strict=True))
+    got = fingerprints.edited(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).collect()
+    shown = lambda digest: [(int(k), {i for i, b in enumerate(np.unpackbits(bits.view(np.uint8))) if b}) for k, bits in zip(*digest, strict=True)]
+    assert len(got) == len(table)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r.doc_id, []).append(r)
+    order = sorted((i for i in by_id if i is not None), reverse=True)
+    own = {i: [t or "" for k, t in table if k == i] for i in by_id}
+    for here, there in zip(order, [*order[1:], None], strict=True):
+        if len(own[here]) == 1:
+            r, t = by_id[here][0], own[here][0]
+            options = []
+            for n in own[there]:
+                e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+                p, c, q = (plain_fingerprint(x.encode()) for x in (t, e, n))
+                options.append((e, p, c, round(plain_likeness(p, c), 9), round(plain_likeness(p, q), 9)))
+            assert (r.edited, shown(fingerprints.from_text(r.fingerprint)), shown(fingerprints.from_text(r.edited_fingerprint)), round(r.near_edited, 9), round(r.near_next, 9)) in options
+    prints = [plain_fingerprint(t.encode()) for t in texts[:3]]
+    assert all(plain_likeness(a, b) < 0.6 for i, a in enumerate(prints) for b in prints[:i]) and by_id[-(1 << 63)][0].fingerprint
+
+
 def test_fingerprints_tell_edited_from_unrelated_texts(spark):
     rng = random.Random(8)
     table = [(i, " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(15, 300)))) for i in range(80)]
@@ -493,6 +559,17 @@ def test_secrets_held_by_many_owners_are_examples(spark):
     assert got == {i: (0, 0, 1) for i in range(9)} | {20: (1, 1, 0)}
 
 
+def test_secrets_of_two_owners_depend_on_repositories(spark):
+    held = lambda mark, n, owners, first: [(first + i, f"see Bearer {mark * 24}", f"o{i % owners}") for i in range(n)]
+    table = held("a", 40, 1, 0) + held("b", secrets.MANY_REPOS - 1, 2, 100) + held("c", secrets.MANY_REPOS, 2, 200) + [(300, None, "o1"), (None, "x", None), (None, "Bearer " + "d" * 24, None), (None, "x", None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    live = {r.doc_id: r.n_live for r in secrets.secrets(docs).where("doc_id is not null").collect()}
+    assert live == {d: int(d < 200) for d, _, _ in table if d is not None and d != 300} | {300: 0}
+    assert secrets.secrets(docs).where("doc_id is null and n_live = 1").count() == 1
+    masked = {r.doc_id: r.text for r in secrets.redacted(docs).where("doc_id is not null").collect()}
+    assert all(t == ("see [SECRET]" if d < 200 else dict((a, b) for a, b, _ in table)[d]) for d, t in masked.items())
+
+
 def test_licenses(spark, docs, none):
     got = {}
     for r in licenses.licenses(docs).collect():

@@ -1,7 +1,8 @@
 """Improbable-feature digests of documents.
 
 Features are byte windows. A window's rarity is how far its byte entropy lies from what running text
-usually has; windows of low entropy (padding, repeats) are never features. In every neighbourhood of
+usually has (a constant, so that fingerprints of different corpora compare); windows of low entropy (padding, repeats)
+are never features. In every neighbourhood of
 consecutive windows the rarest wins (the first of equals), and windows that win often enough are
 selected. Selected windows go, five bits each, into a chain of Bloom filters of 256 bytes that takes a
 new filter after every 160 features. Two fingerprints are compared filter by filter: the overlap of
@@ -9,15 +10,16 @@ their bits, less what chance gives, over the most that could overlap; each filte
 takes its best partner, weighted by its features.
 
 A text of under 64 bytes has all its 4-byte windows as features, one of under 4 bytes itself; an empty
-text has none. A longer text all of low entropy may have none either. Two empty
-fingerprints are alike (1.0), an empty one is like no other (0.0).
+text has none. A longer text all of low entropy, where nothing is selected, has its different 4-byte windows. Two
+empty fingerprints are alike (1.0), an empty one is like no other (0.0).
 
 ``edited`` pairs each text with the next one by descending id without a global sort: ids alone give
-quantile bounds and each range's greatest id, texts are shuffled once by range, and the row that the
-range above needs as its last one's successor travels there as well.
+quantile bounds and each range's first row, texts are shuffled once by range, and the row that the
+range above needs as its last one's successor travels there as well. A range is sorted and streamed, so a task
+holds a batch of texts, however many a range has.
 
-Edge cases: a null text is empty; a null id comes last in descending order; rows with one id follow
-each other by text; a table of one row is its own successor.
+Edge cases: a null text is empty; a very long text is one row of a batch; null ids come last in descending order; rows
+with one id, or without, follow each other by a hash of the text; a table of one row is its own successor.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ LOW = 450
 BITS = 2048
 FULL = 160
 HASHES = 5
+PAIRED = 1 << 22  # characters that are paired at a time
 
 #: c * log2(c) in fixed point: sums of it are exact, so a window's entropy doesn't depend on what stands around it
 _F = np.rint(np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))]) * (1 << 24)).astype(np.int64)
@@ -87,6 +90,11 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         at = np.flatnonzero(chosen)
         docs.append(owner[at])
         hashes.append(W.word_hashes(data, at, at + WINDOW))
+        for i in np.flatnonzero((lens >= SHORT) & (np.bincount(owner[at], minlength=len(lens)) == 0)).tolist():
+            grams = np.ndarray((int(lens[i]) - GRAM + 1,), "<u4", data[offs[i] : offs[i + 1]].tobytes(), 0, (1,))
+            first = offs[i] + np.sort(np.unique(grams, return_index=True)[1])
+            docs.append(np.full(len(first), i))
+            hashes.append(W.word_hashes(data, first, first + GRAM))
     short = np.flatnonzero((lens >= GRAM) & (lens < SHORT))
     if len(short):
         grams = lens[short] - GRAM + 1
@@ -166,40 +174,72 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
-NONE = -(1 << 63)
-
-
-def _pairs(table: pa.Table) -> pa.Table:
-    """One range of ids: each own row with the next, by descending id; the guest follows the last."""
-    rows = sorted(((-k, t or "", g, null) for k, t, g, null in zip(*(table.column(c).to_pylist() for c in ("key", "text", "guest", "no_id")), strict=True)), key=lambda r: r[:2])
-    own, guests = [r for r in rows if not r[2]], [r for r in rows if r[2]]
-    texts = [r[1] for r in own] + [guests[0][1] if guests else own[0][1]]
-    out: list[list] = [[] for _ in range(7)]
-    block, i = 2000, 0
-    while i < len(own):
-        part = texts[i : i + block + 1]
-        edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(part, part[1:], strict=False)]
-        plain, changed = of_texts(part), of_texts(edited)
-        for k, e in enumerate(edited):
-            r = own[i + k]
-            for c, v in zip(out, (None if r[3] else -r[0], len(part[k]), e, text_form(plain[k]), text_form(changed[k]), likeness(plain[k], changed[k]), likeness(plain[k], plain[k + 1])), strict=True):
-                c.append(v)
-        i += block
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+_OUT = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+
+def _paired(rows: list[tuple]) -> pa.RecordBatch:
+    """Each row but the last with the one after it; rows are (id, text)."""
+    texts = [t for _, t in rows]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:], strict=False)]
+    plain, changed = of_texts(texts), of_texts(edited)
+    n = len(edited)
+    cols = [
+        pa.array([i for i, _ in rows[:n]], pa.int64()), pa.array([len(t) for t in texts[:n]], pa.int64()), pa.array(edited, pa.string()), pa.array([text_form(d) for d in plain[:n]], pa.string()),
+        pa.array([text_form(d) for d in changed], pa.string()), pa.array([likeness(plain[k], changed[k]) for k in range(n)], pa.float64()), pa.array([likeness(plain[k], plain[k + 1]) for k in range(n)], pa.float64()),
+    ]
+    return pa.RecordBatch.from_arrays(cols, _OUT)
+
+
+@W.released
+def _pairs(batches):
+    """Rows sorted by range, guests last, then order: each own row with the next one; the first guest follows the last."""
+    last, ended = None, False  # the last row whose successor is awaited, and whether its range has had its guest
+    for b in batches:
+        held: list[tuple] = []
+        size = 0
+        for guest, key, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if guest and ended:
+                continue
+            if not guest and ended:
+                last, ended = None, False
+            if last is not None:
+                held.append((last, (key, text or "")))
+                size += len(held[-1][1][1])
+            last, ended = (None, True) if guest else (held[-1][1] if held and last is not None else (key, text or ""), False)
+            if size > PAIRED:
+                yield from _runs(held)
+                held, size = [], 0
+        yield from _runs(held)
+
+
+def _runs(pairs: list[tuple]):
+    """Pairs that follow each other make one run of rows."""
+    i = 0
+    while i < len(pairs):
+        j = i + 1
+        while j < len(pairs) and pairs[j][0] is pairs[j - 1][1]:
+            j += 1
+        yield _paired([p[0] for p in pairs[i:j]] + [pairs[j - 1][1]])
+        i = j
 
 
 def edited(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited (text), both fingerprints, and their likeness to each other and to the next text's."""
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("key"))
-    n = 2 * width(docs.sparkSession)
-    bounds = ids.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n).alias("b")).first()["b"] or []
+    n = width(docs.sparkSession)
+    # ascending order of (no id, descending id, hash); without an id the lowest range is the row's
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).alias("down"), F.xxhash64("text").alias("hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text"), order.alias("order"))
+    cells = 2 * n
+    bounds = rows.agg(F.percentile_approx("key", [i / cells for i in range(1, cells)], 20 * cells).alias("b")).first()["b"] or []
     edges = np.unique(np.array(bounds, np.int64))
     cell_of = F.arrow_udf(lambda k: pa.array(np.searchsorted(edges, k.to_numpy(zero_copy_only=False), side="left").astype(np.int32)), "int")
-    tops = sorted((r["cell"], r["top"]) for r in ids.groupBy(cell_of("key").alias("cell")).agg(F.max("key").alias("top")).collect())
-    above = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-    guest = F.create_map(*[x for t, c in above.items() for x in (F.lit(t).cast("long"), F.lit(c))]) if above else F.create_map().cast("map<bigint,int>")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("key"), F.col("doc_id").isNull().alias("no_id"), F.col("text")).withColumn("cell", cell_of("key"))
-    to = F.array_compact(F.array(F.struct("cell", F.lit(False).alias("guest")), F.when(F.col("key").isin(list(above)), F.struct(guest[F.col("key")].alias("cell"), F.lit(True).alias("guest")))))
-    dealt = rows.select("key", "no_id", "text", F.explode(to).alias("to")).select("key", "no_id", "text", "to.cell", "to.guest")
-    return dealt.groupBy("cell").applyInArrow(_pairs, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = rows.withColumn("cell", F.when(F.col("key").isNull(), -1).otherwise(cell_of(F.coalesce("key", F.lit(0)))))
+    firsts = sorted((r["cell"], r["first"]) for r in rows.groupBy("cell").agg(F.min("order").alias("first")).collect())  # one row a range
+    above = [(firsts[(i + 1) % len(firsts)][0], first) for i, (_, first) in enumerate(firsts)]
+    table = docs.sparkSession.createDataFrame([(first, cell) for cell, first in above], "order struct<none:boolean,down:bigint,hash:bigint>, above int")
+    rows = rows.join(F.broadcast(table), "order", "left")  # one row a range
+    guest = F.array_compact(F.array(F.when(F.col("above").isNotNull(), F.struct(F.col("above").alias("cell"), F.lit(True).alias("guest")))))
+    to = F.concat(F.array(F.struct("cell", F.lit(False).alias("guest"))), guest)
+    dealt = rows.select("key", "text", "order", F.explode(to).alias("to")).select("to.cell", "to.guest", "key", "text", "order")
+    dealt = dealt.repartition(n, "cell").sortWithinPartitions("cell", "guest", "order", "text").select("guest", "key", "text")
+    return dealt.mapInArrow(_pairs, "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -80,23 +80,33 @@ QUERIES = {f.__name__: f for f in (op1_bpe, op2_mixing, op3_html, op4_token_coun
 
 
 def _secrets_sql() -> str:
-    """The same scan in SQL: pieces between matches and the matches themselves give the positions."""
-    plain = lambda p: p.replace("*+", "*").replace("++", "+").replace("}+", "}").replace("'", "''")  # noqa: E731  no possessive forms there
-    more = plain("|".join(f"(?:{p})" for p in secrets.MORE.values()))
+    """The scan in SQL, with patterns of its own: pieces between matches and the matches themselves give the positions."""
+    more = {
+        "jwt": r"eyJ[-_A-Za-z0-9]{8,}[.][-_A-Za-z0-9]{8,}[.][-_A-Za-z0-9]{8,}",
+        "bearer": r"(?:B|b)earer [-~+/._A-Za-z0-9]{20,}",
+        "hosting": r"gh(?:p|o|u|s|r)_[0-9A-Za-z]{36,}",
+        "chat": r"xox(?:a|b|p|r|s)-[-0-9A-Za-z]{10,}",
+        "payment": r"(?:s|r)k_live_[0-9A-Za-z]{16,}",
+        "cloud": r"AIza[-_0-9A-Za-z]{35}",
+        "private_key": r"-----BEGIN [ A-Z]{0,20}PRIVATE KEY-----[0-9A-Za-z+/=\x20\x09\x0A\x0C\x0D]*",
+        "url_login": r"://[^:/@\x20\x09\x0A\x0C\x0D]{1,64}:[^:/@\x20\x09\x0A\x0C\x0D]{1,64}@",
+    }
 
     def part(pattern: str, no: str, kind: str, group: int, least: int) -> str:
         return f"""SELECT rid, {no} AS kind_no, {kind} AS kind, value, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s, length(hit) AS n
 FROM (SELECT rid, gaps, hits, unnest(hits) AS hit, unnest(vals) AS value, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT rid, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 0) AS hits, regexp_extract_all(t, '{pattern}', {group}) AS vals FROM docs WHERE regexp_matches(t, '{pattern}'))) WHERE length(value) >= {least}"""
 
-    which = "CASE " + " ".join(f"WHEN regexp_matches(hit, '^(?:{plain(p)})') THEN {{{k}}}" for k, p in enumerate(secrets.MORE.values())) + " END"
-    numbers, names = which, which
-    for k, name in enumerate(secrets.MORE):
-        numbers, names = numbers.replace(f"{{{k}}} ", f"{k + 3} "), names.replace(f"{{{k}}} ", f"'{name}' ")
-    parts = [part(plain(secrets.ASSIGN), "0", "'assign'", 1, 8), part(plain(secrets.ACCESS), "1", "'access'", 0, 0), part(plain(secrets.HEX), "2", "'hex'", 0, 0), part(more, numbers, names, 0, 0)]
+    def which(values: list[str]) -> str:
+        return "CASE " + " ".join(f"WHEN regexp_matches(hit, '^(?:{p})') THEN {v}" for p, v in zip(more.values(), values, strict=True)) + " END"
+
+    parts = [
+        part(r"""(?:(?i)password|passwd|secret|token|api_?key)[""\x27]?\x20*[:=]\x20*[""\x27]?([-A-Za-z0-9+/_.=]+)""".replace('""', '"'), "0", "'assign'", 1, 8), part("AKIA[0-9A-Z]{12,}", "1", "'access'", 0, 16), part("[a-f0-9]{32,}", "2", "'hex'", 0, 32),
+        part("|".join(f"(?:{p})" for p in more.values()), which([str(k) for k in range(3, 11)]), which([f"'{name}'" for name in more]), 0, 0),
+    ]
     return f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 found AS ({" UNION ALL ".join(parts)}),
-owners AS (SELECT value, count(DISTINCT coalesce('=' || source, 'null')) AS n_owners FROM found JOIN docs USING (rid) GROUP BY value),
-listed AS (SELECT rid, kind_no, kind || ':' || s || ':' || (s + n) AS span, s, s + n AS e, n_owners < {secrets.MANY_OWNERS} AS live FROM found JOIN owners USING (value)),
+owners AS (SELECT value, count(DISTINCT coalesce('=' || source, 'null')) AS n_owners, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'null')) AS n_repos FROM found JOIN docs USING (rid) GROUP BY value),
+listed AS (SELECT rid, kind_no, kind || ':' || s || ':' || (s + n) AS span, s, s + n AS e, n_owners = 1 OR n_owners = 2 AND n_repos < 20 AS live FROM found JOIN owners USING (value)),
 by_row AS (SELECT rid, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex,
 string_agg(span, ',' ORDER BY s, kind_no, e) FILTER (kind_no < 3) AS base, string_agg(span, ',' ORDER BY s, kind_no, e) FILTER (kind_no < 3 OR live) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM listed GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM docs LEFT JOIN by_row USING (rid)"""

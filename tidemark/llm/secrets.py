@@ -1,8 +1,9 @@
 """Secret scans by corpus-wide ownership frequency, with DataFrame functions only.
 
 Patterns find candidates in each text. Digests of their values are then counted over the corpus by
-distinct repositories and distinct owners. A value that many owners hold is a copied example; one
-that few hold looks like a live credential of theirs. Distinct pairs are formed first (with partial
+distinct repositories and distinct owners. A value that ``many_owners`` hold, or that two hold in ``many_repos``
+repositories, is a copied example; one that a single owner holds, in however many repositories, or that two hold
+in few, looks like a live credential of theirs. Distinct pairs are formed first (with partial
 aggregation before the shuffle), so a value that half of the corpus repeats costs one row a pair and
 its counting is spread over the pairs; the verdicts then join the candidates by digest, a join that
 Spark may split where a value is hot.
@@ -10,7 +11,8 @@ Spark may split where a value is hot.
 Base kinds (assign, access, hex) are always reported; further kinds (``MORE``) are reported only
 where the verdict is live. Positions are code points, end exclusive.
 
-Edge cases: a null text is empty; null repository or owner is a value like any other; candidates of
+Edge cases: a null text is empty; a very long text is scanned whole, in time linear in its length but with the square of
+the number of its candidates; null repository or owner is a value like any other; candidates of
 rows with a null doc_id count; repeated rows hold the same spans and count as one repository; ties
 don't arise, for spans are ordered by start, kind and end.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, row_of, text_of
+from tidemark.llm.shared import cut, fields_of, row_of, text_of
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
@@ -38,6 +40,7 @@ MORE = {
 }
 KINDS = ["assign", "access", "hex", *MORE]
 MANY_OWNERS = 3
+MANY_REPOS = 20
 MASK = "[SECRET]"
 
 _SPAN = "struct<start:bigint,kind_no:int,end:bigint,kind:string,value:string>"
@@ -84,17 +87,18 @@ def candidates(text: Column) -> Column:
     ))
 
 
-def scanned(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
-    """doc_id, repo, owner, key and ``found`` (spans with digests, no values) of every row; texts are read once.
+def scanned(docs: DataFrame, repository: str = "doc_id", owner: str = "source", whole: bool = False) -> DataFrame:
+    """doc_id, repo, owner, key and ``found`` (spans with digests, no values) of every row, and ``row`` if whole rows
+    are wanted; texts are scanned once.
 
     ``key`` names the row's text and id where it has candidates, else it only spreads the row.
     """
-    rows = docs.select(F.col("doc_id"), F.col(repository).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), text_of().alias("text"))
+    rows = docs.select(row_of(docs), F.col("doc_id"), F.col(repository).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), text_of().alias("text"))
     rows = rows.withColumn("c", candidates(F.col("text")))
     slim = F.transform("c", lambda x: F.struct(x["start"], x["kind_no"], x["end"], x["kind"], F.unhex(F.sha2(x["value"], 256)).alias("digest")))
-    row = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    key = F.when(F.size("c") > 0, F.md5(F.concat(row, F.lit(":"), F.col("text")))).otherwise(F.concat(F.lit("-"), row))
-    return cut(rows.select("doc_id", "repo", "owner", key.alias("key"), slim.alias("found")))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    key = F.when(F.size("c") > 0, F.md5(F.concat(own, F.lit(":"), F.col("text")))).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id", "text").cast("string")))
+    return cut(rows.select(*(["row"] if whole else []), "doc_id", "repo", "owner", key.alias("key"), slim.alias("found")))
 
 
 def ownership(scan: DataFrame) -> DataFrame:
@@ -106,14 +110,13 @@ def ownership(scan: DataFrame) -> DataFrame:
     return repos.join(owners, "digest")
 
 
-def verdicts(docs: DataFrame, repository: str = "doc_id", owner: str = "source", many_owners: int = MANY_OWNERS) -> tuple[DataFrame, DataFrame]:
-    """The scan, and (key, live, copied): arrays of spans of the rows with candidates, by verdict."""
-    scan = scanned(docs, repository, owner)
+def verdicts(scan: DataFrame, many_owners: int = MANY_OWNERS, many_repos: int = MANY_REPOS) -> DataFrame:
+    """(key, live, copied): arrays of spans of the rows with candidates, by verdict."""
     each = scan.select("key", F.explode("found").alias("f")).select("key", "f.*").distinct()
-    judged = each.join(ownership(scan).select("digest", (F.col("n_owners") < many_owners).alias("live")), "digest")
+    copied = (F.col("n_owners") >= many_owners) | (F.col("n_owners") > 1) & (F.col("n_repos") >= many_repos)
+    judged = each.join(ownership(scan).select("digest", (~copied).alias("live")), "digest")
     span = F.struct("start", "kind_no", "end", "kind")
-    by_key = judged.groupBy("key").agg(F.array_sort(F.collect_set(F.when(F.col("live"), span))).alias("live"), F.array_sort(F.collect_set(F.when(~F.col("live"), span))).alias("copied"))
-    return scan, by_key
+    return judged.groupBy("key").agg(F.array_sort(F.collect_set(F.when(F.col("live"), span))).alias("live"), F.array_sort(F.collect_set(F.when(~F.col("live"), span))).alias("copied"))
 
 
 def listed(spans: Column) -> Column:
@@ -121,9 +124,10 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def secrets(docs: DataFrame, **how) -> DataFrame:
+def secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source", **many) -> DataFrame:
     """doc_id, base and added spans, and how many of all candidates look live or copied."""
-    scan, by_key = verdicts(docs, **how)
+    scan = scanned(docs, repository, owner)
+    by_key = verdicts(scan, **many)
     plain = F.transform("found", lambda x: F.struct(x["start"], x["kind_no"], x["end"], x["kind"]))
     base = F.filter(plain, lambda x: x["kind_no"] < 3)
     none = F.filter(plain, lambda x: F.lit(False))
@@ -134,14 +138,13 @@ def secrets(docs: DataFrame, **how) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame, **how) -> DataFrame:
+def redacted(docs: DataFrame, repository: str = "doc_id", owner: str = "source", **many) -> DataFrame:
     """``docs`` with every live-looking span, base or further, replaced by ``[SECRET]``; ``n_chars``, if
     there, follows. Rows without candidates are not shuffled; copied examples stay."""
-    _, by_key = verdicts(docs, **how)
-    some = F.size(candidates(text_of())) > 0
-    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    hit = docs.where(some).select(row_of(docs), F.col("text").alias("text"), F.md5(F.concat(own, F.lit(":"), text_of())).alias("key"))
-    joined = hit.join(by_key.select("key", "live"), "key", "left")
+    scan = scanned(docs, repository, owner, whole=True)
+    some = F.size("found") > 0
+    hit = scan.where(some).select("row", F.col("row.text").alias("text"), "key")
+    joined = hit.join(verdicts(scan, **many).select("key", "live"), "key", "left")
 
     def step(acc: Column, x: Column) -> Column:
         between = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
@@ -154,4 +157,4 @@ def redacted(docs: DataFrame, **how) -> DataFrame:
     changed = {"text": F.col("masked").alias("text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.size("live") > 0, F.length("masked")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return docs.where(~some).unionByName(out.select(*[changed.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns]))
+    return scan.where(~some).select(*fields_of(docs)).unionByName(out.select(*[changed.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns]))
