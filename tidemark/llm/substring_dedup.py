@@ -320,12 +320,13 @@ def deduplicated(docs: DataFrame, size: int = SIZE, cells_a_partition: int = 2)
     """doc_id, n_words, n_removed and kept (the words left, joined by spaces) of every row."""
     n = width(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = buckets = max(n * cells_a_partition, -(-total // CELL_BYTES))
+    cells, buckets = max(n * cells_a_partition, -(-total // CELL_BYTES)), max(n, -(-total // CELL_BYTES))
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.pmod(spread, F.lit(cells)).cast("int").alias("cell"))
 
     def answers(asked: DataFrame, decide) -> DataFrame:
-        return asked.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answered(decide), TOLD)
+        # every bucket has its partition: cells and buckets make as many questions as their product, so buckets are few
+        return asked.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket").mapInArrow(_answered(decide), TOLD)
 
     revealed = answers(rows.groupBy("cell").applyInArrow(_reveals(size, buckets), ASKED), _shared)
     verified = answers(rows.groupBy("cell").cogroup(revealed.groupBy("cell")).applyInArrow(_verifies(size, buckets), ASKED), _later)
