@@ -819,6 +819,67 @@ def test_pipeline(spark):
             assert got[d] == t.encode(x, add_special_tokens=False).ids
 
 
+def test_pipeline_of_odd_rows_equals_a_plain_version(spark, tmp_path):
+    """Null ids and texts, copies, near copies, secrets of one and of many owners, labels with effect, clashing columns."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    text = lambda n: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))
+    texts = [text(rng.randint(5, 90)) for _ in range(260)]
+    texts += texts[:30] + [t.replace("w1", "v1", 1) for t in texts[30:70]] + [None, "", "one two", text(3000), "a b c d e " * 9]
+    texts += [f"{text(20)} password = hunter2{i}xyz {text(5)}" for i in range(12)] + [f"{text(20)} token: sharedexample99 {text(3)}" for _ in range(9)]
+    texts += [text(30).replace(" ", "### ") for _ in range(40)]
+    table = [(i, t, rng.choice(["en"] * 11 + [None]), f"s{i % 4}" if i % 9 else None, len(t or ""), "x", i, 1) for i, t in enumerate(texts)]
+    table += [(None, f"nobody's {text(30)}", "en", "s1", 5, "x", 1, 1), (None, None, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, place int"
+    marks = [(i, 0 if (texts[i] or "").count("#") > 9 else 1) for i in range(len(texts))]
+    spark.createDataFrame(table, schema).drop("place").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    import pyarrow as pa
+
+    from tidemark.llm import words as W
+
+    steps = plain_steps([(r[0], r[1] or "", r[2]) for r in table], marks)
+    assert any(x is not None for x in steps.values())
+
+    def passes(t, lang):
+        m = {k: int(v[0]) for k, v in quality.measure(*W.buffers(pa.array([t or ""]))).items()}
+        share = {"symbols": ("n_symbols", "n_words"), "capitals": ("n_upper", "n_letters"), "bangs": ("n_bangs", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
+        step = steps.get(lang)
+        return m["n_words"] >= 10 and 100 * m["n_repeat_words"] <= 20 * m["n_words"] and (step is None or not any((m[a] / m[b] if m[b] else 0) > quality.grid(r)[step] for r, (a, b) in share.items()))
+
+    kept = [r for r in table if passes(r[1], r[2])]
+    classes = plain_classes(kept)
+    kept = [r for r in kept if r[0] is None or classes[r[0]][0] == r[0]]
+    owners = {}
+    for r in kept:
+        for start, _, end, kind in plain_secrets(r[1] or ""):
+            value = re.search(r"[A-Za-z0-9+/_.=-]+$", r[1][start:end])[0]
+            owners.setdefault(value, set()).add(r[3])
+    t = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
+    want = []
+    for r in kept:
+        out, at = "", 0
+        for start, _, end, kind in plain_secrets(r[1] or ""):
+            if len(owners[re.search(r"[A-Za-z0-9+/_.=-]+$", r[1][start:end])[0]]) == 1:
+                out, at = out + r[1][at:start] + secrets.MASK, end
+        want.append((r[0] if r[0] is not None else -1, t.encode(out + (r[1] or "")[at:], add_special_tokens=False).ids))
+    assert len(want) < len(table) - 80 and sum("hunter" in (r[1] or "") for r in kept) == 12
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.ids) for r in got) == sorted(want)
+    assert len({(r.slot, r.place) for r in got}) == len(got) and all(r.n_tokens == len(r.ids) for r in got)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_result_holds_the_schedule(spark, monkeypatch, tmp_path):
     """Through files and several read partitions, prefixes of the result by slot and place have the sources' shares."""
     import corpus_pipeline

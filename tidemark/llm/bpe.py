@@ -34,12 +34,13 @@ from tidemark.llm import words as W
 MASK = np.uint64((1 << 10) - 1)
 LEAST = 256
 ROLL = 16
+LONG = 1 << 14
 
 _state: dict = {}
 
 
 class Store:
-    """What was put last, between ``size`` and twice as many entries."""
+    """What was put last, between ``size`` and twice as many entries; none has a key of over ``LONG`` bytes."""
 
     def __init__(self, size: int):
         self.size, self.new, self.old = size, {}, {}
@@ -53,7 +54,8 @@ class Store:
     def put(self, key, value) -> None:
         if len(self.new) >= self.size:
             self.old, self.new = self.new, {}
-        self.new[key] = value
+        if len(key) <= LONG:
+            self.new[key] = value
 
 
 class Encoder:

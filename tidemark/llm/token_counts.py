@@ -9,7 +9,10 @@ unknown (least score of the vocabulary less 10); with byte pieces it counts its
 of unknown characters counts one.
 
 White space of the one kind U+0020 starts a word (shown as U+2581, one before the text); no piece
-crosses words, so equal words are scored once and kept in a bounded store.
+crosses words, so equal words are scored once and kept in a store of bounded size, very long ones aside.
+
+The vocabulary is that of a public file. Where the file has ranks instead of log probabilities (a BPE file), Zipf's law
+gives these: a piece of rank r has a chance in proportion to 1 / (r + 1). Control pieces match nothing.
 
 Edge cases: a null or empty text has no tokens; a text without spaces is one word, in time and memory
 linear in its length; null ids, repeated rows and further columns don't matter.
@@ -17,6 +20,7 @@ linear in its length; null ids, repeated rows and further columns don't matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNKNOWN_LESS = 10.0
 KEEP = 300_000
+LONG = 64  # characters of a word that is kept
 
 _state: dict = {}
 
@@ -85,17 +90,23 @@ class Counter:
                     n = self.word(SPACE + w)
                 if len(self.new) >= KEEP:
                     self.old, self.new = self.new, {}
-                self.new[w] = n
+                if len(w) <= LONG:
+                    self.new[w] = n
             known[w] = n
         return [sum(map(known.__getitem__, parts)) for parts in split]
 
 
 def vocabulary(path: str) -> tuple[list[str], list[float]]:
-    """Pieces and scores of a sentencepiece file."""
+    """Pieces and log probabilities of a sentencepiece file, the unknown piece first, control pieces left out."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [m.id_to_piece(i) for i in range(m.vocab_size())], [float(m.get_score(i)) for i in range(m.vocab_size())]
+    some = [i for i in range(m.vocab_size()) if not (m.is_control(i) or m.is_unused(i))]
+    scores = [float(m.get_score(i)) for i in some]
+    if min(scores) < -1000:  # ranks
+        rank = {i: r for r, i in enumerate(sorted((i for i in some if not (m.is_byte(i) or m.is_unknown(i))), key=lambda i: -m.get_score(i)))}
+        scores = [-math.log(rank.get(i, len(rank)) + 1) for i in some]
+    return [m.id_to_piece(i) for i in some], scores
 
 
 def counter(path: str) -> Counter:
