@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, ngram_join, quality, secrets
 from tidemark.llm.queries import table, vocabulary
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, discard, made
 from tidemark.session import ship
 
 ORACLE_SQL = None
@@ -52,9 +52,12 @@ STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("se
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Every other stage's table is deleted when the next one is written, with all that its
+    stage left in the shared folder."""
+    docs, before = table(spark, sf_dir, "documents"), set(made())
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs)
+            discard(spark, [p for p in made()[:-1] if p not in before])
     return docs
