@@ -74,6 +74,37 @@ def test_equal_calls_are_computed_once(spark):
     assert parse("1 + 2 * 3").op == "+" and parse("(1 + 2) * 3").op == "*"
 
 
+def exchanges(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning")
+
+
+def test_one_exchange_by_instrument(spark):
+    df = table(spark, [float(i) for i in range(50)], ["a", "b"] * 25)
+    four = [K.ts_mean("value", 3, "m"), K.ts_std("value", 3, "s"), K.ts_delay("value", 1, "d"), K.ts_return("value", 1, "r")]
+    assert exchanges(reactive(df, "id", four, ["seq"])) == 1
+    assert exchanges(reactive(df, "id", [K.Expr("TS_STD(TS_RETURN(value, 1), 4) * 100", "x"), K.Expr("TS_MEAN(value, 2) - TS_DIFF(value, 1)", "y"), K.ts_mean("x", 2, "z")], ["seq"], invalid="skip")) == 1
+    assert exchanges(reactive(df, "id", [*four, K.ts_ema("value", 3, "e")], ["seq"])) == 1
+
+
+def test_ema_over_batches(spark):
+    """Batches of three rows: instruments begin, end and go on anywhere; nulls at the ends keep the state."""
+    values = [1.0, None, 3.0, 4.0, None, None, None, 8.0, 9.0, 2.0, None, 5.0, None, 7.0, 7.5]
+    ids = ["a"] * 8 + ["b"] * 2 + ["c"] * 1 + ["d"] * 4
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = [r[0] for r in run(table(spark, values, ids), K.ts_ema("value", 3, "e"), invalid="skip")]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, state = [], {}
+    for i, x in zip(ids, values):
+        if x is not None:
+            state[i] = x if i not in state else 0.5 * x + 0.5 * state[i]
+        want.append(None if x is None else pytest.approx(state[i], abs=1e-12))
+    assert got == want
+
+
 def test_checks(spark):
     df = table(spark, [1.0])
     for bad in (lambda: reactive(df.withColumn("id", F.lit(1)), "id", [], ["seq"]), lambda: reactive(df.withColumn("value", F.lit(1)), "id", [K.ts_mean("value", 1, "m")], ["seq"]), lambda: reactive(df, "id", [K.ts_mean("value", 1, "value")], ["seq"]), lambda: reactive(df, "id", [K.ts_mean("none", 1, "m")], ["seq"])):

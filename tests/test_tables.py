@@ -42,12 +42,30 @@ def test_expressions(table):
 
 
 def test_columns_that_are_not_there(table):
-    for bad in (lambda: table.drop("x"), lambda: table.rename({"x": "y"}), lambda: table.sort("x"), lambda: table.head(-1), lambda: table.slice(0, -1), lambda: table.join(table, on="seq", how="cross")):
+    for bad in (lambda: table.drop("x"), lambda: table.rename({"x": "y"}), lambda: table.sort("x"), lambda: table.head(-1), lambda: table.slice(0, -1), lambda: Table(table.df).head(1), lambda: Table(table.df).slice(0, 1), lambda: Table(table.df).tail(1), lambda: table.join(table, on="seq", how="cross")):
         with pytest.raises(ValueError):
             bad()
     assert table.rename(k="key").drop("v").df.columns == ["seq", "key"] and seqs(table.rename(v="w").tail(1)) == [4]
 
 
+def test_order_outlives_its_columns(table):
+    assert [r.seq for r in table.sort("v").select("seq").collect()] == [3, 4, 1, 2] and [r.k for r in table.sort("v").drop("v", "seq").collect()] == ["a", None, "a", "b"]
+    assert [r.v for r in table.select("v").tail(2).collect()] == [1.0, 2.0] and [r.k for r in table.sort("seq", descending=True).with_columns(seq=lit(0)).select("k").head(2).collect()] == [None, "a"]
+    assert [r.k for r in table.sort("v").rename(v="w").with_columns(v=lit(1)).select("k").collect()] == ["a", None, "a", "b"]
+    ordered = table.sort("v").select("seq")
+    assert ordered.df.columns == ["seq"] and [r.seq for r in ordered.df.collect()] == [3, 4, 1, 2] and "Sort [" in ordered.explain("simple")
+    assert [r.seq for r in table.sort("k", descending=True).sort("v").select("seq").join(table.select("seq", "v"), on="seq").collect()] == [3, 4, 1, 2]
+
+
+def test_snapshot_and_fresh_reads(spark, tmp_path):
+    S.append(rows(spark, 5), path := str(tmp_path / "t"))
+    pinned, live = read_table(spark, path, ["seq"]), read_table(spark, path, ["seq"], snapshot=False).filter(col("v") > 0).select("seq")
+    held = live.snapshot()
+    S.append(rows(spark, 8).where("seq >= 5"), path)
+    assert len(pinned.collect()) == 5 and seqs(held) == [1, 2, 3, 4] and seqs(live) == list(range(1, 8)) and seqs(live.tail(2)) == [6, 7]
+    assert live.to_reader(3).read_all()["seq"].to_pylist() == list(range(1, 8)) and live.profile()[1]["scanned_rows"] == 8 and live.df.count() == 7
+
+
 def test_join_suffix_and_nulls(table):
     out = table.join(table.select("k", "v"), on="k", how="left", suffix="_2")
     assert out.df.columns == ["k", "seq", "v", "v_2"] and out.df.count() == 6 and table.join(table, on="k", how="anti").df.count() == 1

@@ -11,19 +11,15 @@ from tidemark.functions.factors import Cross
 from tidemark.schema import need, need_id, need_new, need_time
 
 
-def _factor(f: Cross) -> Column:
-    x = F.col(f"`{f.column}`").cast("double")
-    ok = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    x = F.when(ok, x)
-    bucket = Window.partitionBy("_bucket", ok)
-    if f.kind == "RANK":  # the average rank of ties
-        ties = F.count(x).over(Window.partitionBy("_bucket", ok, x))
-        return F.when(ok, F.rank().over(bucket.orderBy(x)) + (ties - 1) / 2.0)
-    mean = F.avg(x).over(bucket)
-    if f.kind == "DEMEAN":
-        return F.when(ok, x - mean)
-    std = F.stddev_pop(x).over(bucket)
-    return F.when(ok, F.when(std == 0, F.lit(0.0)).otherwise((x - mean) / std))
+def _valid(column: str) -> Column:
+    x = F.col(f"`{column}`").cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def _rank(x: Column) -> Column:
+    """The average rank of ties."""
+    ties = F.count(x).over(Window.partitionBy("_bucket", x))
+    return F.when(x.isNotNull(), F.rank().over(Window.partitionBy("_bucket", x.isNotNull()).orderBy(x)) + (ties - 1) / 2.0)
 
 
 def last_per_bucket(df: DataFrame, id_column: str, dt_column: str, interval: str, order_by: Sequence[str]) -> DataFrame:
@@ -44,4 +40,17 @@ def cross_section(df: DataFrame, id_column: str, dt_column: str, interval: str,
     for f in factors:
         need(df, f.column)
     rows = last_per_bucket(df, id_column, dt_column, interval, order_by)
-    return rows.select(F.col(id_column), F.col("_bucket").alias(dt_column), *[_factor(f).alias(f.output) for f in factors])
+    rows = rows.select(F.col(f"`{id_column}`").alias("_id"), "_bucket", *[_valid(f.column).alias(f"_x{i}") for i, f in enumerate(factors)])
+    moments = [i for i, f in enumerate(factors) if f.kind != "RANK"]
+    if moments:  # one row a bucket, partially aggregated; Spark broadcasts it where it is small
+        stats = rows.groupBy("_bucket").agg(*[a for i in moments for a in (F.avg(f"_x{i}").alias(f"_m{i}"), F.stddev_pop(f"_x{i}").alias(f"_s{i}"))])
+        rows = rows.join(stats, "_bucket")
+
+    def value(i: int, f: Cross) -> Column:
+        x = F.col(f"_x{i}")
+        if f.kind == "RANK":
+            return _rank(x)
+        rest = x - F.col(f"_m{i}")
+        return rest if f.kind == "DEMEAN" else F.when(x.isNotNull(), F.when(F.col(f"_s{i}") == 0, F.lit(0.0)).otherwise(rest / F.col(f"_s{i}")))
+
+    return rows.select(F.col("_id").alias(id_column), F.col("_bucket").alias(dt_column), *[value(i, f).alias(f.output) for i, f in enumerate(factors)])

@@ -73,15 +73,25 @@ def persist(df: DataFrame, path: str, dt_column: str | None = None, dt_part: str
     append(df, path, row_capacity, parts)
 
 
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """Names of the partition levels, from the first folder of each."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    here = jvm.org.apache.hadoop.fs.Path(path)
+    fs = here.getFileSystem(conf)
+    while True:
+        parts = [s.getPath() for s in fs.listStatus(here) if s.isDirectory() and "=" in s.getPath().getName()]
+        if not parts:
+            return out
+        out.append(parts[0].getName().partition("=")[0])
+        here = parts[0]
+
+
 def read(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Partition values stay text ('000001' isn't 1)."""
-    before = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    try:
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        return reader.parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", before)
+    if schema is None and (parts := partition_columns(spark, path)):
+        inferred = spark.read.parquet(path).schema
+        schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in parts else f for f in inferred])
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
 
 
 def compact(spark: SparkSession, path: str, target: str, sort_by: Sequence[str], partition_by: Sequence[str] = (), min_files: int = 2) -> bool:
