@@ -51,23 +51,24 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", stars_already: bool = False) -> DataFrame:
     """(node, component): the least node id reachable from each node that an edge names.
 
     A round points the greater neighbours of every node at its least neighbour (large star), then brings
     the rows of each greater end together and contracts what a partition holds (small star). Before that
     exchange every partition has contracted its own edges, so it sends one row a node: nobody's rows are
-    hot there. Rounds grow with the logarithm of the longest path; only counts reach the driver.
+    hot there. Rounds grow with the logarithm of the longest path; only counts reach the driver. ``stars_already`` says
+    that the edges come from tasks that have contracted theirs.
     """
     spark = edges.sparkSession
     n = width(spark)
 
-    def stars(df: DataFrame) -> DataFrame:
-        own = df.mapInArrow(_contracted, "u long, v long")
+    def stars(df: DataFrame, contracted: bool = False) -> DataFrame:
+        own = df if contracted else df.mapInArrow(_contracted, "u long, v long")
         return own.repartition(n, "u").mapInArrow(_contracted, "u long, v long")
 
     before, watch = made(), Observation()
-    e = cut(stars(edges.where(F.col(a) != F.col(b)).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))), watch, F.count("*").alias("n"))
+    e = cut(stars(edges.where(F.col(a) != F.col(b)).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")), stars_already), watch, F.count("*").alias("n"))
     size = watch.get["n"]
     while size:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -359,7 +359,7 @@ def classes(docs: DataFrame, recall: float = 0.9995) -> DataFrame:
     some = nodes.where("sig is not null")
     n_nodes, n_rows = nodes.agg(F.count("sig"), F.sum("n_rows")).first()
 
-    groups = components(_ties(some.select("node", "sig"), depth_for(recall), n_nodes))
+    groups = components(_ties(some.select("node", "sig"), depth_for(recall), n_nodes), stars_already=True)
     found = cut(_verified(docs, some.select("node", "text_key", "n_texts", "n_shingles"), groups))
     # groups of one block are done; what hangs together over several blocks is found by its stars
     wide = components(found.where("not whole"), "node", "root")

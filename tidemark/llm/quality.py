@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.shared import cut, fields_of, met, row_of
+from tidemark.llm.shared import cut, fields_of, row_of
 
 SHAPE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_bangs long"
 NAMES = [x.split()[0] for x in SHAPE.split(", ")]
@@ -221,22 +221,32 @@ def failed_rules(step: Column) -> Column:
     return F.array_compact(F.array(*[F.when(_over(rule, step), F.lit(rule)) for rule in RULES]))
 
 
-def _judged(docs: DataFrame, labels: DataFrame, columns: list, **risk) -> DataFrame:
-    """``columns`` of ``docs``, m, base_failed, failed and kept. Texts are read and measured once; the measures are
-    kept, with ``columns``, as a table in the shared folder for both the calibration and the verdict."""
+def _verdict(rows: DataFrame, steps: DataFrame) -> DataFrame:
+    """``rows`` (stratum, m, others) with base_failed, failed (names) and kept. The steps are a table of known size, one
+    row a stratum: Spark broadcasts it where it is small."""
+    out = rows.join(steps, "stratum", "left")
+    return out.withColumns({"base_failed": base_failed(), "failed": failed_rules(F.col("step"))}).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+
+
+def _measures_of(docs: DataFrame, *columns) -> DataFrame:
     stratum = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null"))
-    measured = cut(docs.select(*columns, F.col("doc_id").alias("doc_id"), stratum.alias("stratum"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), measures(F.col("text")).alias("m")))
-    steps = calibrate(measured.select("doc_id", "stratum", "digest", "m"), labels, **risk)
-    sizes = measured.groupBy("stratum").agg(F.count("*").alias("n")).join(steps, "stratum", "left")
-    rows = met(measured, sizes, "stratum", "n", measured.count())
-    return rows.withColumns({"base_failed": base_failed(), "failed": failed_rules(F.col("step"))}).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    return docs.select(*columns, stratum.alias("stratum"), measures(F.col("text")).alias("m"))
+
+
+def _table(docs: DataFrame) -> DataFrame:
+    return cut(_measures_of(docs, F.col("doc_id").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")))
 
 
 def judged(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
-    """doc_id, the measures in ``m``, base_failed, failed (names) and kept for every row of ``docs``."""
-    return _judged(docs, labels, [], **risk).select("doc_id", "m", "base_failed", "failed", "kept")
+    """doc_id, the measures in ``m``, base_failed, failed (names) and kept for every row of ``docs``.
+
+    Texts are read once; the measures, a few numbers a row, are kept as a table in the shared folder for both the
+    calibration and the verdict."""
+    measured = _table(docs)
+    return _verdict(measured, calibrate(measured, labels, **risk)).select("doc_id", "m", "base_failed", "failed", "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with their columns as they are."""
-    return _judged(docs, labels, [row_of(docs)], **risk).where("kept").select(*fields_of(docs))
+    """The rows of ``docs`` that no rule rejects, with their columns as they are. Texts are measured a second time,
+    which takes less memory and disk than to keep or move them."""
+    return _verdict(_measures_of(docs, row_of(docs)), calibrate(_table(docs), labels, **risk)).where("kept").select(*fields_of(docs))
