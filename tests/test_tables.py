@@ -9,9 +9,14 @@ from tidemark.operators.timeseries import timeseries
 from tidemark.plans.expr import col, lit, time_range
 from tidemark.plans.table import Table, read_table
 from tidemark.schema import SchemaMismatch
+from tidemark.operators import bars as B
+from tidemark.operators.cross_section import cross_section
 from tidemark.sources import tables as S
 from tidemark.sources.catalog import Catalog
+from tidemark.sources.plugin import read_source
+from tidemark.sources.shards import ShardedTable
 from tidemark.streaming import streams
+from tidemark.streaming.factors import accepted, bar_stream, cross_sections, rolling
 
 
 @pytest.fixture
@@ -109,7 +114,10 @@ def test_persist_compact_and_catalog(spark, tmp_path):
     S.append(rows(spark), str(tmp_path / "u"), row_capacity=10)
     before = c.table_info("u")
     assert c.list_tables() == ["t", "u"] and before["rows"] == 200 and before["files"] >= 20 and c.table_alerts("u", max_files=5) == ["too many files"]
-    assert c.compact_table("u", ["dt", "seq"]) and c.table_info("u")["rows"] == 200 and c.table_health("u", max_files=5)["healthy"] and not c.compact_table("u", ["dt"], min_files=9)
+    merged = c.compact_table("u", ["dt", "seq"])
+    assert merged[0]["rows"] == 200 and merged[0]["least"] == dt.datetime(2024, 1, 1) and merged[0]["files_after"] < 5 and c.table_info("u")["rows"] == 200 and c.table_health("u", max_files=5)["healthy"] and not c.compact_table("u", ["dt"], min_files=9)
+    assert len(c.compact_tables({"t": ["dt", "seq"]}, min_files=2)["t"]) == S.partitions(spark, path).count() - S.partitions(spark, path).where("files > 1").count() or c.table_info("t")["files"] == 15
+    assert S.replayed_equal(S.read(spark, path).select("id", "dt", "v", "seq"), rows(spark)) and S.retain(spark, path, 2) == 3 and S.read(spark, path).select("dt_part").distinct().count() == 2
     assert c.drop_table("u") and not c.drop_table("u") and c.table_alerts("u") == ["missing"]
     with pytest.raises(ValueError):
         S.persist(rows(spark), path, dt_part="%Y")
@@ -141,7 +149,7 @@ def test_key_value_table_opened_again(spark, tmp_path):
     first = S.KeyValueTable(spark, path, ["key"], ["seq"])
     first.upsert(keyed(60), 0)
     (tmp_path / "kv" / "snapshot" / "2e1").mkdir()  # a version that was never finished
-    keyed(9).select(F.lit(61).cast("long").alias("kv_seq"), F.lit("upsert").alias("kv_op"), F.lit(2).cast("long").alias("kv_snapshot_version"), "*").write.parquet(f"{path}/changelog/v=2")
+    keyed(9).select(F.lit(61).cast("long").alias("kv_seq"), F.lit("upsert").alias("kv_op"), F.lit(2).cast("long").alias("kv_snapshot_version"), "*").write.parquet(f"{path}/changelog/kv_part=2")
     again = S.KeyValueTable(spark, path, ["key"], ["seq"])
     assert (again.version, again.epoch, again.next_seq) == (1, 0, 61) and again.changes().count() == 60
     again.upsert(keyed(60), 0)
@@ -174,3 +182,116 @@ def test_streams(spark, tmp_path):
 
     want = {r.seq: round(r.e, 9) for r in reactive(data, "id", [K.ts_ema("v", 3, "e")], ["seq"]).collect()}
     assert {r.seq: round(r.e, 9) for r in spark.read.parquet(out2).collect()} == want
+
+
+def test_sharded_table(spark, tmp_path):
+    t = ShardedTable(spark, str(tmp_path / "sharded"), ["id"], 4)
+    t.write(rows(spark).where("seq < 60"))
+    t.write(rows(spark).where("seq >= 60"))
+    assert S.replayed_equal(t.df().select("id", "dt", "v", "seq"), rows(spark)) and [r.seq for r in t.table(["seq"]).filter(col("v") > 90).tail(3).select("seq").collect()] == [97, 98, 99]
+    parts = [t.shard(i) for i in range(4)]
+    assert sum(p.count() for p in parts) == 100 and sum(p.select("id").distinct().count() for p in parts) == 3
+    with pytest.raises(ValueError, match="subscribed"):
+        t.subscribe(print)
+    for bad in (lambda: ShardedTable(spark, "x", [], 4), lambda: ShardedTable(spark, "x", ["id"], 0), lambda: t.write(rows(spark).withColumn("shard", F.lit(1)))):
+        with pytest.raises(ValueError):
+            bad()
+    assert 1 <= ShardedTable(spark, "x", ["id"]).shards <= 16
+
+
+@pytest.fixture
+def stream(spark, tmp_path):
+    """Ten files of ten rows, a file a micro-batch."""
+    data = rows(spark)
+    for k in range(10):
+        data.where(F.col("seq").between(10 * k, 10 * k + 9)).coalesce(1).write.mode("append").parquet(src := str(tmp_path / "src"))
+    return data, streams.source(spark, src, data.schema, 1), tmp_path
+
+
+def test_rolling_factors_on_a_stream(spark, stream):
+    from tidemark.operators.reactive import reactive
+
+    data, live, tmp = stream
+    for i, f in enumerate((K.ts_mean("v", 3, "y"), K.ts_std("v", 4, "y"), K.ts_delay("v", 2, "y"), K.ts_diff("v", 5, "y"), K.ts_return("v", 1, "y"))):
+        noisy = lambda df: df.withColumn("v", F.when(F.col("seq") % 7 != 3, F.col("v")))
+        streams.persist_stream(rolling(noisy(live), "id", f, ["seq"]), out := str(tmp / f"o{i}"), str(tmp / f"c{i}")).awaitTermination()
+        want = {r.seq: r.y if r.y is None else round(r.y, 9) for r in reactive(noisy(data), "id", [f], ["seq"], invalid="skip").collect()}
+        assert {r.seq: r.y if r.y is None else round(r.y, 9) for r in spark.read.parquet(out).collect()} == want
+
+
+def test_lateness_by_instrument_on_a_stream(spark, stream):
+    from tidemark.operators.timeseries import accept
+
+    data, live, tmp = stream
+    late = lambda df: df.withColumn("dt", F.when(F.col("seq") % 9 == 4, F.col("dt") - F.expr("interval 30 hours")).otherwise(F.col("dt")))
+    streams.persist_stream(accepted(late(live), "id", "dt", ["seq"]), out := str(tmp / "o"), str(tmp / "c")).awaitTermination()
+    assert sorted(r.seq for r in spark.read.parquet(out).collect()) == sorted(r.seq for r in accept(late(data), "id", "dt", ["seq"], "drop").collect())
+
+
+def test_cross_sections_and_bars_on_a_stream(spark, stream):
+    data, live, tmp = stream
+    got = []
+    engine = cross_sections(str(tmp / "w"), "id", "dt", "6 hours", [K.cs_rank("v", "r"), K.cs_demean("v", "d")], ["seq"], lambda df, _: got.extend(df.collect()))
+    engine.start(live, str(tmp / "c")).awaitTermination()
+    before = len(got)
+    engine.flush(spark)
+    want = sorted(cross_section(data, "id", "dt", "6 hours", [K.cs_rank("v", "r"), K.cs_demean("v", "d")], ["seq"]).collect())
+    assert 0 < before < len(got) and sorted(got) == want
+    with pytest.raises(ValueError, match="late row"):
+        engine.each(data.where("seq = 1"), engine.last + 1)
+    names = B.InputColumns("id", "dt", "v", "seq", "seq")
+    profile, out = B.Profile(names, B.TradingSessions("UTC", [("00:00", "23:59:59")]), auction="drop"), []
+    made = bar_stream(str(tmp / "b"), profile, ["seq"], lambda df, _: out.extend(df.collect()))
+    made.start(live, str(tmp / "c2")).awaitTermination()
+    made.flush(spark)
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, B.bars(data, profile, ["seq"]).collect()), key=str)
+    with pytest.raises(ValueError):
+        bar_stream("x", B.Profile(names, profile.sessions, auction="merge_to_first_regular_bar"), ["seq"], print)
+
+
+def test_subscriptions(spark, stream):
+    data, live, tmp = stream
+    got, kv = [], S.KeyValueTable(spark, str(tmp / "kv"), ["id"], ["seq"])
+    streams.subscribe_table(live, lambda b: got.append(sorted(r.seq for r in b.collect())), str(tmp / "c1"), F.col("id") == "000001", batch_size=10).awaitTermination()
+    assert [len(g) for g in got] == [10, 10, 10] and sum(got, []) == list(range(1, 90, 3))
+    snapshots, changes = [], []
+    streams.latest_stream(live, kv, lambda df: snapshots.append(sorted(r.seq for r in df.collect())), str(tmp / "c2")).awaitTermination()
+    assert len(snapshots) == 10 and snapshots[-1] == [97, 98, 99]
+    other = S.KeyValueTable(spark, str(tmp / "kv2"), ["id"], ["seq"])
+    streams.subscribe_key_value(live, other, str(tmp / "c3"), on_changes=lambda df: changes.append((df.columns, df.count()))).awaitTermination()
+    assert changes == [(["id", "dt", "v", "seq"], 3)] * 10
+    for bad in (lambda: streams.subscribe_key_value(live, other, "x", print, start_from=3), lambda: streams.subscribe_key_value(live, other, "x"), lambda: streams.subscribe(live, print, "x", start_from=0), lambda: streams.subscribe_table(live, print, "x", count=3)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_replays_and_health(spark, stream):
+    data, live, tmp = stream
+    got = []
+    r = streams.Replay(spark, str(tmp / "src"), data.schema, str(tmp / "c1"), lambda b: got.append(b.count()), time_column="dt", start=dt.datetime(2024, 1, 1, 10), end=dt.datetime(2024, 1, 2), files_per_batch=2)
+    q = r.run()
+    assert streams.wait_healthy(q, 60)["error"] is None
+    q.awaitTermination()
+    assert sum(got) == 15 and len(got) == 5 and not streams.needs_rebuild(q)
+    with pytest.raises(RuntimeError):
+        r.run()
+    streams.Replay(spark, str(tmp / "src"), data.schema, str(tmp / "c2"), target=str(tmp / "out")).run().awaitTermination()
+    assert S.replayed_equal(spark.read.parquet(str(tmp / "out")), data)
+    for bad in ({}, {"callback": print, "target": "x"}, {"callback": print, "start": 1}):
+        with pytest.raises(ValueError):
+            streams.Replay(spark, str(tmp / "src"), data.schema, "x", **bad)
+    failing = streams.subscribe_table(live, lambda b: 1 / 0, str(tmp / "c3"))
+    with pytest.raises(Exception, match="division"):
+        failing.awaitTermination()
+    assert streams.needs_rebuild(failing) and streams.live_health(failing)["failed"]
+
+
+def test_python_source(spark):
+    def start(sink, part, parts):
+        for k in range(part, 10, parts):
+            sink.emit({"k": k, "name": f"n{k}"})
+            yield
+        sink.emit([{"k": 100 + part, "name": None}])
+
+    got = read_source(spark, start, spark.createDataFrame([], "k long, name string").schema, 3)
+    assert sorted((r.k, r.name) for r in got.collect()) == [*((k, f"n{k}") for k in range(10)), *((100 + p, None) for p in range(3))]

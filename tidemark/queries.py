@@ -6,6 +6,10 @@ with the order of addition.
 
 from __future__ import annotations
 
+import datetime as dt
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +19,13 @@ from tidemark.operators.compare import compare, digest
 from tidemark.operators.cross_section import cross_section, last_per_bucket
 from tidemark.operators.latest import changelog, latest, shard
 from tidemark.operators.reactive import reactive
-from tidemark.operators.timeseries import timeseries
+from tidemark.operators.timeseries import accept, timeseries
 from tidemark.plans.expr import col, lit
 from tidemark.plans.table import Table
+from tidemark.sources import tables as S
+from tidemark.sources.shards import ShardedTable
+from tidemark.streaming import streams as X
+from tidemark.streaming.factors import accepted, rolling
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -481,3 +489,201 @@ def row_digest(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     a, b = digest(o), digest(o.orderBy(F.desc("o_totalprice")))
     return a.alias("a").join(b.alias("b"), F.col("a.rows") == F.col("b.rows")).select((F.col("a.digest") == F.col("b.digest")).alias("equal"), F.col("a.rows").alias("rows"))
+
+
+# what tests alone saw before: null rules, late rows, bars' other columns, stored tables, streams
+
+
+@query(f"WITH {TICKS} SELECT id, seq, round(-(price - 100) * -2, 6) AS x FROM ticks")
+def expr_unary_minus(spark, sf_dir):
+    return rounded(reactive(ticks(spark, sf_dir), "id", [K.Expr("-(price - 100) * -2", "x")], ["seq"]).select("id", "seq", "x"), "x")
+
+
+@query(f"""WITH {TICKS}, t AS (SELECT id, seq, CASE WHEN seq % 5 <> 2 THEN price END AS x FROM ticks), d AS (SELECT *, x - lag(x, 1) OVER (PARTITION BY id, x IS NULL ORDER BY seq) AS step FROM t)
+SELECT id, seq, CASE WHEN step IS NOT NULL AND count(step) OVER w >= 2 THEN round(avg(step) OVER w + abs(x), 6) END AS y FROM d WINDOW w AS (PARTITION BY id, step IS NULL ORDER BY seq ROWS 1 PRECEDING)""")
+def expr_stateful_nulls(spark, sf_dir):
+    rows = ticks(spark, sf_dir).withColumn("x", F.when(F.col("seq") % 5 != 2, F.col("price")))
+    return rounded(reactive(rows, "id", [K.Expr("TS_MEAN(TS_DIFF(x, 1), 2) + ABS(x)", "y")], ["seq"]).select("id", "seq", "y"), "y")
+
+
+@query(f"""WITH {TICKS}, a AS (SELECT *, avg(price) OVER w AS m, stddev_pop(price) OVER w AS s, count(price) OVER w AS n FROM ticks WINDOW w AS (PARTITION BY id ORDER BY seq ROWS 4 PRECEDING))
+SELECT id, seq, CASE WHEN n >= 5 THEN round(m, 6) END AS mean, CASE WHEN n >= 5 THEN round(s, 6) END AS std, round(lag(price, 2) {OWN}, 6) AS delay, round(volume - lag(volume, 1) {OWN}, 6) AS change FROM a""")
+def reactive_many(spark, sf_dir):
+    """Four rolling factors of two columns: one exchange."""
+    out = reactive(ticks(spark, sf_dir), "id", [K.ts_mean("price", 5, "mean"), K.ts_std("price", 5, "std"), K.ts_delay("price", 2, "delay"), K.ts_diff("volume", 1, "change")], ["seq"])
+    return rounded(out.select("id", "seq", "mean", "std", "delay", "change"), "mean", "std", "delay", "change")
+
+
+@query(f"""WITH {TICKS}, s AS (SELECT *, (seq * 7919) % 1000003 AS arrival FROM ticks), l AS (SELECT *, max(dt) OVER (PARTITION BY id ORDER BY arrival, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM s)
+SELECT count(*) AS rows, count(*) FILTER (dt < seen) AS late FROM l""")
+def late_rows(spark, sf_dir):
+    rows = ticks(spark, sf_dir).withColumn("arrival", F.col("seq") * 7919 % 1000003)
+    kept = accept(rows, "id", "dt", ["arrival", "seq"], "drop").select(F.lit(0).alias("n"), F.lit(1).alias("kept"))
+    return rows.select(F.lit(1).alias("n"), F.lit(0).alias("kept")).union(kept).agg(F.sum("n").alias("rows"), (F.sum("n") - F.sum("kept")).alias("late"))
+
+
+def _full_ticks(spark, sf_dir) -> DataFrame:
+    """Dense ticks with gaps in the market data, trade counts and price limits that come and go."""
+    gaps = {c: F.when(F.col("seq") % n == k, F.lit(None) if c != "turnover" else F.lit(float("nan"))).otherwise(F.col(c)) for c, n, k in (("last_price", 17, 3), ("volume", 19, 5), ("turnover", 23, 7))}
+    return _dense(spark, sf_dir).withColumns(gaps | {"num_trades": F.when(F.col("seq") % 3 > 0, F.col("seq") % 4), "up": F.when(F.col("seq") % 4 > 0, F.round(F.col("last_price") * 1.1, 4)), "down": F.when(F.col("seq") % 7 == 1, F.round(F.col("last_price") * 0.9, 4))})
+
+
+FULL = DENSE.format(source="full_ticks").replace("kinds AS", """full_ticks AS (SELECT * REPLACE (CASE WHEN seq % 17 <> 3 THEN last_price END AS last_price, CASE WHEN seq % 19 <> 5 THEN volume END AS volume, CASE WHEN seq % 23 <> 7 THEN turnover END AS turnover),
+CASE WHEN seq % 3 > 0 THEN seq % 4 END AS num_trades, CASE WHEN seq % 4 > 0 THEN round(last_price * 1.1, 4) END AS up, CASE WHEN seq % 7 = 1 THEN round(last_price * 0.9, 4) END AS down FROM dense),
+kinds AS""")
+
+
+def _full_sql(regular: str, shown: str, volume: str = "CAST(sum(volume) AS BIGINT)") -> str:
+    return f"""WITH {FULL} SELECT instrument_id, {shown} AS dt, arg_min(last_price, seq) AS open, max(last_price) AS high, min(last_price) AS low, arg_max(last_price, seq) AS close, {volume} AS volume, round(sum(turnover), 6) AS total_turnover,
+CAST(sum(num_trades) AS BIGINT) AS num_trades, arg_max(up, seq) FILTER (up IS NOT NULL) AS limit_up, arg_max(down, seq) FILTER (down IS NOT NULL) AS limit_down FROM kinds WHERE {regular} AND last_price IS NOT NULL AND volume IS NOT NULL AND turnover IS NOT NULL GROUP BY instrument_id, win"""
+
+
+def _full_bars(spark, sf_dir, zone: str, regular: list, volume: B.Volume, label: str) -> DataFrame:
+    df, names = _full_ticks(spark, sf_dir), B.InputColumns("instrument_id", "dt", "last_price", "volume", "turnover", "trading_day", "num_trades", "up", "down")
+    out = B.bars(df, B.Profile(names, B.TradingSessions(zone, regular), volume, "drop", label), ["seq"])
+    return rounded(out.select("instrument_id", "dt", "open", "high", "low", "close", "volume", "total_turnover", "num_trades", "limit_up", "limit_down"), "total_turnover")
+
+
+@query(_full_sql("regular", END))
+def bars_missing_data(spark, sf_dir):
+    """Ticks without price, volume or turnover are left out; trades and limits are summed and carried."""
+    return _full_bars(spark, sf_dir, "UTC", [("09:00", "11:30"), ("13:30", "15:00")], B.Volume("delta"), "close_dt")
+
+
+@query(_full_sql("regular", "win", "sum(volume)"))
+def bars_start_label_float(spark, sf_dir):
+    return _full_bars(spark, sf_dir, "UTC", [("09:00", "11:30"), ("13:30", "15:00")], B.Volume("delta", output_dtype="float64"), "start_dt")
+
+
+@query(_full_sql("(CAST(dt + INTERVAL 8 HOUR AS TIME) >= TIME '17:00' OR CAST(dt + INTERVAL 8 HOUR AS TIME) < TIME '02:30')", END))
+def bars_over_midnight(spark, sf_dir):
+    """A session of Asia/Shanghai that ends on the next day."""
+    return _full_bars(spark, sf_dir, "Asia/Shanghai", [("17:00", "02:30")], B.Volume("delta"), "close_dt")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) - 1 AS place, o_orderkey FROM orders QUALIFY place < 40")
+def tbl_sort_select(spark, sf_dir):
+    """The sort column isn't selected; places show that the order stays."""
+    keys = _table(spark, sf_dir, "orders", "o_orderkey").sort("o_totalprice", descending=True).select("o_orderkey").head(40)
+    return spark.createDataFrame([(i, r.o_orderkey) for i, r in enumerate(keys.collect())], "place long, o_orderkey long")  # a top-k of 40
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_totalprice NULLS LAST, o_orderkey DESC LIMIT 30")
+def tbl_sort_drop_head(spark, sf_dir):
+    t = _table(spark, sf_dir, "orders", "o_orderkey").sort("o_orderkey", descending=True).sort("o_totalprice").drop("o_totalprice")
+    return t.rename(o_orderkey="key").head(30).select(o_orderkey=col("key")).df
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder below the one that executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
+
+
+def _stored_ticks(spark, sf_dir) -> DataFrame:
+    return ticks(spark, sf_dir).select(F.format_string("%04d", F.col("seq") % 5).alias("id"), "dt", "price", "volume", "seq")
+
+
+STORED = "stored AS (SELECT printf('%04d', event_id % 5) AS id, ts AS dt, value AS price, CAST(event_id % 10 + 1 AS DOUBLE) AS volume, event_id AS seq FROM events)"
+
+
+@query(f"WITH {STORED} SELECT *, strftime(dt, '%Y%m') AS dt_part FROM stored")
+def persist_roundtrip(spark, sf_dir):
+    path = _scratch(spark)
+    for k in range(2):
+        S.persist(_stored_ticks(spark, sf_dir).where(F.col("seq") % 2 == k), path, "dt", "%Y%m", "id")
+    return S.read(spark, path).select("id", "dt", "price", "volume", "seq", "dt_part")
+
+
+@query(f"WITH {STORED} SELECT * FROM stored")
+def compact_roundtrip(spark, sf_dir):
+    path = _scratch(spark)
+    for k in range(3):
+        S.append(_stored_ticks(spark, sf_dir).where(F.col("seq") % 3 == k), path, row_capacity=2000)
+    S.compact(spark, path, ["dt", "seq"])
+    return S.read(spark, path)
+
+
+@query(f"WITH {STORED} SELECT id, count(*) AS rows, max(seq) AS last FROM stored WHERE seq % 2 = 0 GROUP BY id")
+def sharded_table(spark, sf_dir):
+    """Written in two parts, read as one; the plan applies to all shards."""
+    t = ShardedTable(spark, _scratch(spark), ["id"], 4)
+    for k in range(2):
+        t.write(_stored_ticks(spark, sf_dir).where((F.col("seq") > 700) == bool(k)))
+    rows = t.table(["seq"]).filter((col("seq") / 2 - col("seq") / 2 == 0) & col("price").is_not_null()).df
+    return rows.where("seq % 2 = 0").groupBy("id").agg(F.count("*").alias("rows"), F.max("seq").alias("last"))
+
+
+@query("SELECT event_id, ts, value FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00'")
+def replay_bounds(spark, sf_dir):
+    out = S.replay(spark, f"{sf_dir}/events.parquet", "ts", dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 20, 12))
+    return out.select("event_id", "ts", "value")
+
+
+def _kv_table(spark, sf_dir) -> S.KeyValueTable:
+    t = S.KeyValueTable(spark, _scratch(spark), ["event_type", "zone"], ["event_id"])
+    rows = _keyed(spark, sf_dir).withColumn("batch", F.when(F.col("event_id") < 3000, 0).when(F.col("event_id") < 3001, 1).otherwise(2).cast("long"))
+    for k in range(3):
+        t.upsert(rows.where(F.col("batch") == k))
+    return t
+
+
+THREE = KEYED.replace("event_id // 1000", "CASE WHEN event_id < 3000 THEN 0 WHEN event_id < 3001 THEN 1 ELSE 2 END")
+
+
+@query(f"WITH {KEYED} SELECT event_type, zone, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM keyed GROUP BY ALL")
+def kv_table_snapshot(spark, sf_dir):
+    return _kv_table(spark, sf_dir).snapshot().select("event_type", "zone", "event_id", "value")
+
+
+@query(f"""WITH {THREE}, l AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY batch, event_type, zone ORDER BY event_id DESC) = 1)
+SELECT row_number() OVER (ORDER BY batch, event_type, zone) AS kv_seq, dense_rank() OVER (ORDER BY batch) AS kv_snapshot_version, event_type, zone, event_id FROM l""")
+def kv_table_changes(spark, sf_dir):
+    return _kv_table(spark, sf_dir).changes().select("kv_seq", "kv_snapshot_version", "event_type", "zone", "event_id")
+
+
+def _live(spark, sf_dir) -> tuple[DataFrame, str]:
+    """The stored ticks as a stream of four files, one a micro-batch, in the order of arrival."""
+    path = _scratch(spark)
+    rows = _stored_ticks(spark, sf_dir)
+    for k in range(4):
+        rows.where((F.col("seq") >= 2500 * k) & ((F.col("seq") < 2500 * (k + 1)) | F.lit(k == 3))).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return X.source(spark, f"{path}/in", rows.schema, 1), path
+
+
+def _run(df: DataFrame, path: str, name: str) -> DataFrame:
+    X.persist_stream(df, f"{path}/{name}", f"{path}/checkpoint-{name}").awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+
+@query(f"WITH {STORED} SELECT id, seq, CASE WHEN count(price) OVER w >= 4 THEN round(avg(price) OVER w, 6) END AS mean FROM stored WINDOW w AS (PARTITION BY id ORDER BY seq ROWS 3 PRECEDING)")
+def stream_mean(spark, sf_dir):
+    live, path = _live(spark, sf_dir)
+    return rounded(_run(rolling(live, "id", K.ts_mean("price", 4, "mean"), ["seq"]), path, "out").select("id", "seq", "mean"), "mean")
+
+
+@query(f"WITH {STORED} SELECT id, seq, round(price - lag(price, 2) OVER (PARTITION BY id ORDER BY seq), 6) AS change FROM stored")
+def stream_diff(spark, sf_dir):
+    live, path = _live(spark, sf_dir)
+    return rounded(_run(rolling(live, "id", K.ts_diff("price", 2, "change"), ["seq"]), path, "out").select("id", "seq", "change"), "change")
+
+
+@query(f"""WITH {STORED}, s AS (SELECT * REPLACE (CASE WHEN seq % 9 = 4 THEN dt - INTERVAL 1 DAY ELSE dt END AS dt) FROM stored), l AS (SELECT *, max(dt) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM s)
+SELECT id, seq FROM l WHERE seen IS NULL OR dt >= seen""")
+def stream_late_drop(spark, sf_dir):
+    live, path = _live(spark, sf_dir)
+    late = live.withColumn("dt", F.when(F.col("seq") % 9 == 4, F.expr("timestampadd(day, -1, dt)")).otherwise(F.col("dt")))
+    return _run(accepted(late, "id", "dt", ["seq"]), path, "out").select("id", "seq")
+
+
+@query(f"WITH {STORED} SELECT id, arg_max(price, seq) AS price, max(seq) AS seq FROM stored GROUP BY id")
+def stream_latest(spark, sf_dir):
+    live, path = _live(spark, sf_dir)
+    table = S.KeyValueTable(spark, f"{path}/kv", ["id"], ["seq"])
+    X.latest_stream(live, table, lambda _: None, f"{path}/checkpoint").awaitTermination()
+    return table.snapshot().select("id", "price", "seq")

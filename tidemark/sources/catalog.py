@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.sources import tables
 
@@ -22,6 +23,9 @@ class Catalog:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _files(self, name: str) -> int:
+        return tables.partitions(self.spark, self.path(name)).agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
     def list_tables(self) -> list[str]:
         fs, p = self._fs(self.root)
         return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
@@ -30,15 +34,14 @@ class Catalog:
         df = tables.read(self.spark, self.path(name))
         fs, p = self._fs(self.path(name))
         total = fs.getContentSummary(p)
-        return {"name": name, "schema": df.schema, "files": len(df.inputFiles()), "bytes": int(total.getLength()), "rows": df.count()}
+        return {"name": name, "schema": df.schema, "files": self._files(name), "bytes": int(total.getLength()), "rows": df.count()}
 
     def table_alerts(self, name: str, max_files: int = 1000, stale_seconds: float | None = None) -> list[str]:
         fs, p = self._fs(self.path(name))
         if not fs.exists(p):
             return ["missing"]
         out = []
-        df = tables.read(self.spark, self.path(name))
-        if len(df.inputFiles()) > max_files:
+        if self._files(name) > max_files:
             out.append("too many files")
         if stale_seconds is not None and time.time() - fs.getFileStatus(p).getModificationTime() / 1000 > stale_seconds:
             out.append("stale")
@@ -52,9 +55,9 @@ class Catalog:
         fs, p = self._fs(self.path(name))
         return bool(fs.delete(p, True)) if fs.exists(p) else False
 
-    def compact_table(self, name: str, sort_by: list[str], partition_by: tuple = (), min_files: int = 2) -> bool:
-        new = f"{self.root}/_compact-{name}-{time.time_ns()}"
-        if not tables.compact(self.spark, self.path(name), new, sort_by, partition_by, min_files):
-            return False
-        tables.swap(self.spark, self.path(name), new)
-        return True
+    def compact_table(self, name: str, sort_by: list[str], min_files: int = 2) -> list[dict]:
+        """What was merged, a row for each partition group."""
+        return tables.compact(self.spark, self.path(name), sort_by, min_files)
+
+    def compact_tables(self, sort_by: dict[str, list[str]], min_files: int = 2) -> dict[str, list[dict]]:
+        return {name: self.compact_table(name, columns, min_files) for name, columns in sort_by.items()}

@@ -94,17 +94,45 @@ def read(spark: SparkSession, path: str, schema: T.StructType | None = None) ->
     return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
 
 
-def compact(spark: SparkSession, path: str, target: str, sort_by: Sequence[str], partition_by: Sequence[str] = (), min_files: int = 2) -> bool:
-    """Write the folder's rows to ``target`` in few files, sorted within each; false if it has fewer than
-    ``min_files``. The source stays as it is, so readers are not disturbed; ``swap`` puts the new folder in
-    its place."""
-    df = read(spark, path)
-    if len(df.inputFiles()) < min_files:
-        return False
-    out = df.hint("rebalance", *partition_by) if partition_by else df.hint("rebalance")
-    writer = out.sortWithinPartitions(*partition_by, *sort_by).write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
-    return True
+def partitions(spark: SparkSession, path: str) -> DataFrame:
+    """One row a partition group (folder): path, files, bytes. Spark lists the files; no list reaches the driver."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    return found.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def compact(spark: SparkSession, path: str, sort_by: Sequence[str], min_files: int = 2, max_groups: int = 1000) -> list[dict]:
+    """Merge every partition group of ``min_files`` or more files into few, sorted by ``sort_by``.
+
+    A group is written beside its folder and takes its place by one rename of folders; so readers see the old or the
+    new group, but for the moment between two renames. Groups are handled ``max_groups`` at most a call, those of most
+    files first (call again for more). Gives for each: folder, files and rows before and after, least and greatest
+    values of the first sort column.
+    """
+    done = []
+    for g in partitions(spark, path).where(F.col("files") >= min_files).orderBy(F.desc("files"), "folder").limit(max_groups).collect():
+        folder, new = g["folder"], f"{path.rstrip('/')}.compact-{time.time_ns()}"
+        rows = spark.read.parquet(folder)
+        rows.hint("rebalance").sortWithinPartitions(*sort_by).write.parquet(new)
+        out = spark.read.parquet(new)
+        facts = out.agg(F.count(F.lit(1)).alias("rows"), F.min(sort_by[0]).alias("least"), F.max(sort_by[0]).alias("greatest")).first()
+        if facts["rows"] != rows.count():
+            raise OSError(f"{folder} changed while it was merged")
+        swap(spark, folder, new)
+        after = partitions(spark, folder).agg(F.sum("files")).first()[0]
+        done.append({"folder": folder, "files_before": g["files"], "files_after": after, "rows": facts["rows"], "least": facts["least"], "greatest": facts["greatest"]})
+    return done
+
+
+def retain(spark: SparkSession, path: str, keep: int) -> int:
+    """Delete all but the ``keep`` greatest values of the first partition level; gives the number deleted."""
+    if keep < 1:
+        raise ValueError("at least one partition is kept")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = sorted((s.getPath() for s in fs.listStatus(p) if s.isDirectory() and "=" in s.getPath().getName()), key=lambda x: x.getName())
+    for old in folders[: max(0, len(folders) - keep)]:
+        fs.delete(old, True)
+    return max(0, len(folders) - keep)
 
 
 def swap(spark: SparkSession, path: str, new: str, keep_old: bool = False) -> None:
@@ -167,7 +195,7 @@ class KeyValueTable:
         return f"{self.path}/snapshot/{version}e{epoch}"
 
     def _log(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/changelog/v={version}")
+        return self.spark.read.parquet(f"{self.path}/changelog/kv_part={version}")
 
     def upsert(self, batch: DataFrame, epoch: int | None = None) -> None:
         """``epoch`` numbers the batches of the one stream that feeds the table; other batches have none.
@@ -189,7 +217,7 @@ class KeyValueTable:
         numbered = staged.join(F.broadcast(before), "_range").select(  # one row a partition
             seq.cast("long").alias("kv_seq"), F.lit("upsert").alias("kv_op"), F.lit(version).cast("long").alias("kv_snapshot_version"), *[F.col(f"`{c}`") for c in changes.columns]
         )
-        numbered.write.mode("overwrite").parquet(f"{self.path}/changelog/v={version}")
+        numbered.write.mode("overwrite").parquet(f"{self.path}/changelog/kv_part={version}")
         rows = self._log(version).drop("kv_seq", "kv_op", "kv_snapshot_version")
         now = rows if not self.version else rows.unionByName(self.snapshot().join(rows.select(*self.by), self.by, "left_anti"))
         epoch = self.epoch if epoch is None else epoch
@@ -203,7 +231,7 @@ class KeyValueTable:
 
     def changes(self) -> DataFrame:
         log = self.spark.read.option("basePath", f"{self.path}/changelog").parquet(f"{self.path}/changelog")
-        return log.where(F.col("v") <= self.version).drop("v")
+        return log.where(F.col("kv_part") <= self.version).drop("kv_part")
 
 
 def fan_out(df: DataFrame, *sinks) -> None:
