@@ -43,3 +43,15 @@ def test_the_rest_stands_without_the_optional_part(tmp_path):
     code = "import __spark_entry__ as e; assert len(e.queries()) > 50 and not any(n.startswith('op') for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
     importlib.invalidate_caches()
+
+
+def test_an_error_inside_the_optional_part_is_not_hidden(tmp_path):
+    root = Path(entry.__file__).parent
+    if not (root / "tidemark" / "llm").exists():
+        pytest.skip("the optional part isn't there")
+    shutil.copytree(root / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(root / name, tmp_path)
+    (tmp_path / "tidemark" / "llm" / "words.py").write_text("import nothing_of_this_name\n")
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True)
+    assert out.returncode and "nothing_of_this_name" in out.stderr

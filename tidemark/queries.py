@@ -7,7 +7,6 @@ with the order of addition.
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +23,7 @@ from tidemark.plans.expr import col, lit
 from tidemark.plans.table import Table
 from tidemark.sources import tables as S
 from tidemark.sources.shards import ShardedTable
+from tidemark.session import shared_dir
 from tidemark.streaming import streams as X
 from tidemark.streaming.factors import accepted, rolling
 
@@ -576,13 +576,7 @@ def tbl_sort_drop_head(spark, sf_dir):
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder below the one that executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
 
 
 def _stored_ticks(spark, sf_dir) -> DataFrame:

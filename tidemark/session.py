@@ -1,4 +1,4 @@
-"""Session set-up: UTC clock, and this package on every executor."""
+"""Session set-up: UTC clock, this package on every executor, the folder that executors share."""
 
 from __future__ import annotations
 
@@ -40,3 +40,15 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"tidemark/{f.relative_to(root)}")
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode (tests)."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="tidemark-")
+        sc.setCheckpointDir(path)
+    return path.rstrip("/")
