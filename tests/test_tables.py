@@ -156,7 +156,9 @@ def test_key_value_table_opened_again(spark, tmp_path):
     assert again.version == 1
     again.upsert(keyed(70).where("seq >= 50"), 1)
     assert again.snapshot().count() == 70 and again.version == 2
-    assert [(r.kv_seq, r.seq) for r in again.changes().orderBy("kv_seq").collect()] == [*((k + 1, k) for k in range(60)), *((k + 11, k) for k in range(50, 70))]
+    again.upsert(keyed(70).where("seq = 69"), 2)
+    assert again.snapshot().count() == 70 and sorted(f.name for f in (tmp_path / "kv" / "snapshot").iterdir()) == ["2e1", "3e2"]
+    assert [(r.kv_seq, r.seq) for r in again.changes().orderBy("kv_seq").collect()] == [*((k + 1, k) for k in range(60)), *((k + 11, k) for k in range(50, 70)), (81, 69)]
 
 
 def test_streams(spark, tmp_path):

@@ -225,6 +225,8 @@ class KeyValueTable:
         self.version, self.epoch, self.next_seq = version, epoch, self.next_seq + n
         fs, p = self._hadoop(stage)
         fs.delete(p, True)
+        for v, e in sorted(self._complete())[:-2]:  # the one before stays for its readers
+            fs.delete(self._hadoop(self._snapshot(v, e))[1], True)
 
     def snapshot(self) -> DataFrame:
         return self.spark.read.parquet(self._snapshot(self.version, self.epoch))
