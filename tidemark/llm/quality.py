@@ -130,7 +130,7 @@ def measures(text: Column) -> Column:
     def measured(t: pa.Array) -> pa.Array:
         return _measured(t)
 
-    return measured(text)
+    return measured.asNondeterministic()(text)  # else Spark would push a filter on measures below them and measure twice
 
 
 def _share(part: str, whole: str) -> Column:
