@@ -25,7 +25,7 @@ from tidemark.sources import tables as S
 from tidemark.sources.shards import ShardedTable
 from tidemark.session import shared_dir
 from tidemark.streaming import streams as X
-from tidemark.streaming.factors import accepted, rolling
+from tidemark.streaming.factors import accepted, bar_stream, cross_sections, rolling
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -641,10 +641,9 @@ def kv_table_changes(spark, sf_dir):
     return _kv_table(spark, sf_dir).changes().select("kv_seq", "kv_snapshot_version", "event_type", "zone", "event_id")
 
 
-def _live(spark, sf_dir) -> tuple[DataFrame, str]:
-    """The stored ticks as a stream of four files, one a micro-batch, in the order of arrival."""
+def _live(spark, rows: DataFrame) -> tuple[DataFrame, str]:
+    """Rows as a stream of four files, one a micro-batch, in the order of arrival."""
     path = _scratch(spark)
-    rows = _stored_ticks(spark, sf_dir)
     for k in range(4):
         rows.where((F.col("seq") >= 2500 * k) & ((F.col("seq") < 2500 * (k + 1)) | F.lit(k == 3))).coalesce(1).write.mode("append").parquet(f"{path}/in")
     return X.source(spark, f"{path}/in", rows.schema, 1), path
@@ -657,27 +656,87 @@ def _run(df: DataFrame, path: str, name: str) -> DataFrame:
 
 @query(f"WITH {STORED} SELECT id, seq, CASE WHEN count(price) OVER w >= 4 THEN round(avg(price) OVER w, 6) END AS mean FROM stored WINDOW w AS (PARTITION BY id ORDER BY seq ROWS 3 PRECEDING)")
 def stream_mean(spark, sf_dir):
-    live, path = _live(spark, sf_dir)
+    live, path = _live(spark, _stored_ticks(spark, sf_dir))
     return rounded(_run(rolling(live, "id", K.ts_mean("price", 4, "mean"), ["seq"]), path, "out").select("id", "seq", "mean"), "mean")
 
 
 @query(f"WITH {STORED} SELECT id, seq, round(price - lag(price, 2) OVER (PARTITION BY id ORDER BY seq), 6) AS change FROM stored")
 def stream_diff(spark, sf_dir):
-    live, path = _live(spark, sf_dir)
+    live, path = _live(spark, _stored_ticks(spark, sf_dir))
     return rounded(_run(rolling(live, "id", K.ts_diff("price", 2, "change"), ["seq"]), path, "out").select("id", "seq", "change"), "change")
 
 
 @query(f"""WITH {STORED}, s AS (SELECT * REPLACE (CASE WHEN seq % 9 = 4 THEN dt - INTERVAL 1 DAY ELSE dt END AS dt) FROM stored), l AS (SELECT *, max(dt) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM s)
 SELECT id, seq FROM l WHERE seen IS NULL OR dt >= seen""")
 def stream_late_drop(spark, sf_dir):
-    live, path = _live(spark, sf_dir)
+    live, path = _live(spark, _stored_ticks(spark, sf_dir))
     late = live.withColumn("dt", F.when(F.col("seq") % 9 == 4, F.expr("timestampadd(day, -1, dt)")).otherwise(F.col("dt")))
     return _run(accepted(late, "id", "dt", ["seq"]), path, "out").select("id", "seq")
 
 
 @query(f"WITH {STORED} SELECT id, arg_max(price, seq) AS price, max(seq) AS seq FROM stored GROUP BY id")
 def stream_latest(spark, sf_dir):
-    live, path = _live(spark, sf_dir)
+    live, path = _live(spark, _stored_ticks(spark, sf_dir))
     table = S.KeyValueTable(spark, f"{path}/kv", ["id"], ["seq"])
     X.latest_stream(live, table, lambda _: None, f"{path}/checkpoint").awaitTermination()
     return table.snapshot().select("id", "price", "seq")
+
+
+def _rolled(spark, sf_dir, factor) -> DataFrame:
+    live, path = _live(spark, _stored_ticks(spark, sf_dir))
+    return rounded(_run(rolling(live, "id", factor, ["seq"]), path, "out").select("id", "seq", factor.output), factor.output)
+
+
+@query(f"WITH {STORED} SELECT id, seq, CASE WHEN count(price) OVER w >= 6 THEN round(stddev_pop(price) OVER w, 6) END AS std FROM stored WINDOW w AS (PARTITION BY id ORDER BY seq ROWS 5 PRECEDING)")
+def stream_std(spark, sf_dir):
+    return _rolled(spark, sf_dir, K.ts_std("price", 6, "std"))
+
+
+@query(f"WITH {STORED} SELECT id, seq, round(lag(price, 4) OVER (PARTITION BY id ORDER BY seq), 6) AS delay FROM stored")
+def stream_delay(spark, sf_dir):
+    return _rolled(spark, sf_dir, K.ts_delay("price", 4, "delay"))
+
+
+@query(f"WITH {STORED} SELECT id, seq, round(price / nullif(lag(price, 1) OVER (PARTITION BY id ORDER BY seq), 0) - 1, 6) AS change FROM stored")
+def stream_return(spark, sf_dir):
+    return _rolled(spark, sf_dir, K.ts_return("price", 1, "change"))
+
+
+@query(f"""WITH RECURSIVE {STORED}, r AS (SELECT id, seq, price, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM stored),
+e AS (SELECT id, seq, n, price AS y FROM r WHERE n = 1 UNION ALL SELECT r.id, r.seq, r.n, r.price * (2.0 / 6)::DOUBLE + e.y * (1 - (2.0 / 6)::DOUBLE) FROM e JOIN r ON r.id = e.id AND r.n = e.n + 1)
+SELECT id, seq, round(y, 6) AS ema FROM e""")
+def stream_ema(spark, sf_dir):
+    live, path = _live(spark, _stored_ticks(spark, sf_dir))
+    return rounded(_run(X.stateful_ema(live, "id", "price", 5, ["seq"], "ema"), path, "out").select("id", "seq", "ema"), "ema")
+
+
+def _windowed(engine, live: DataFrame, path: str) -> DataFrame:
+    """What a windowed engine has given to its sink, a folder for each micro-batch, when the stream has ended."""
+    engine.start(live, f"{path}/checkpoint").awaitTermination()
+    engine.flush(live.sparkSession)
+    return live.sparkSession.read.parquet(f"{path}/out/*")
+
+
+@query(f"""WITH {STORED}, b AS (SELECT id, time_bucket(INTERVAL 1 DAY, dt) AS bucket, arg_max(price, seq) AS price FROM stored GROUP BY ALL)
+SELECT id, bucket AS dt, rank() OVER (PARTITION BY bucket ORDER BY price) + (count(*) OVER (PARTITION BY bucket, price) - 1) / 2.0::DOUBLE AS rank, round(price - avg(price) OVER (PARTITION BY bucket), 6) AS rest FROM b""")
+def stream_cross_section(spark, sf_dir):
+    live, path = _live(spark, _stored_ticks(spark, sf_dir))
+    engine = cross_sections(f"{path}/open", "id", "dt", "1 day", [K.cs_rank("price", "rank"), K.cs_demean("price", "rest")], ["seq"], lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/out/{epoch}"))
+    return rounded(_windowed(engine, live, path), "rest")
+
+
+@query(_delta_sql("SELECT * FROM kinds WHERE regular"))
+def stream_bars(spark, sf_dir):
+    live, path = _live(spark, _dense(spark, sf_dir))
+    names = B.InputColumns("instrument_id", "dt", "last_price", "volume", "turnover", "trading_day")
+    profile = B.Profile(names, B.TradingSessions("UTC", [("09:00", "11:30"), ("13:30", "15:00")], [("08:55", "09:00")]))
+    out = _windowed(bar_stream(f"{path}/open", profile, ["seq"], lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/out/{epoch}")), live, path)
+    return rounded(out.select("instrument_id", "dt", "open", "high", "low", "close", "volume", "total_turnover", "start_dt", "close_dt", "end_dt"), "total_turnover")
+
+
+@query(f"WITH {STORED} SELECT id, count(*) AS rows, max(seq) AS last FROM stored WHERE price > 50 GROUP BY id")
+def subscribed_rows(spark, sf_dir):
+    """What a subscription with a filter was called back with."""
+    live, path = _live(spark, _stored_ticks(spark, sf_dir))
+    X.subscribe_table(live, lambda df: df.write.mode("append").parquet(f"{path}/out"), f"{path}/checkpoint", F.col("price") > 50, batch_size=1).awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("id").agg(F.count("*").alias("rows"), F.max("seq").alias("last"))
