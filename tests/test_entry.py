@@ -31,6 +31,19 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(repr(tuple(r[c] for c in columns)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["pw_abs_log_clip_cast"])
+def test_zero_prices_equal_the_sql(spark, tmp_path, name):
+    """Zeros first, last and alone in an hour, and alone in a day."""
+    c = duckdb.connect()
+    c.execute(f"CREATE TABLE events AS SELECT * REPLACE (CASE WHEN user_id % 3 = 0 AND (event_id % 2 = 0 OR user_id % 2 = 0) THEN 0.0 ELSE value END AS value) FROM '{SF}/events.parquet'")
+    c.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    got, want = queries.QUERIES[name](spark, str(tmp_path)), c.sql(queries.SQL[name])
+    columns = sorted(got.columns)
+    at = [want.columns.index(c) for c in columns]
+    rows = sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in got.collect()) == rows and len(rows) > 300
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

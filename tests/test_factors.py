@@ -68,6 +68,15 @@ def test_failing_rows(spark, text):
         run(table(spark, [-1.0]), K.Expr(text, "y"))
 
 
+def test_log_of_zero(spark):
+    """As IEEE and the query's SQL have it, where that is asked for; else a failure."""
+    got = [r[0] for r in run(table(spark, [0.0, -0.0, 1.0]), K.log("value", "y", ieee=True))]
+    assert got == [float("-inf"), float("-inf"), 0.0]
+    assert str(run(table(spark, [-1.0]), K.log("value", "y", ieee=True))[0][0]) == "nan"
+    with pytest.raises(Exception, match="positive"):
+        run(table(spark, [0.0]), K.log("value", "y"))
+
+
 def test_equal_calls_are_computed_once(spark):
     out = reactive(table(spark, [1.0]), "id", [K.Expr("TS_DELAY(value, 1) * TS_DELAY(value, 1)", "y")], ["seq"])
     assert out._jdf.queryExecution().optimizedPlan().toString().count("lag(") == 1

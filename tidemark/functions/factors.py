@@ -19,6 +19,7 @@ class Factor:
     low: float = 0.0
     high: float = 0.0
     dtype: str = ""
+    ieee: bool = False
 
     def __post_init__(self):
         if self.size < 1:
@@ -61,8 +62,9 @@ def absolute(column: str, output: str) -> Factor:
     return Factor("ABS", column, output)
 
 
-def log(column: str, output: str) -> Factor:
-    return Factor("LOG", column, output)
+def log(column: str, output: str, ieee: bool = False) -> Factor:
+    """Values that aren't positive fail; with ``ieee`` zero gives -Infinity and negative ones NaN."""
+    return Factor("LOG", column, output, ieee=ieee)
 
 
 def clip(column: str, low: float, high: float, output: str) -> Factor:

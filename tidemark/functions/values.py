@@ -26,7 +26,9 @@ def checked(x: Column, name: str, nulls_fail: bool = True) -> Column:
     return F.when(bad, fail(f"invalid value in [{name}]")).otherwise(x)
 
 
-def natural_log(x: Column, name: str = "LOG") -> Column:
+def natural_log(x: Column, name: str = "LOG", ieee: bool = False) -> Column:
+    if ieee:
+        return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.ln(x))
     return F.when(x <= 0, fail(f"{name}: value must be positive")).otherwise(F.ln(x))
 
 

@@ -148,7 +148,7 @@ def reactive(
             else:
                 x = V.checked(x, f.column) if invalid == "reject" else F.when(V.finite(x), x)
                 df = df.withColumn(f.output, {
-                    "ABS": lambda x=x: F.abs(x), "LOG": lambda x=x: V.natural_log(x), "CAST": lambda x=x, f=f: V.convert(x, "double", f.dtype),
+                    "ABS": lambda x=x: F.abs(x), "LOG": lambda x=x, f=f: V.natural_log(x, ieee=f.ieee), "CAST": lambda x=x, f=f: V.convert(x, "double", f.dtype),
                     "CLIP": lambda x=x, f=f: F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(f.high))), F.lit(float(f.low)))),
                 }[f.kind]())
         columns.append(f.output)
