@@ -31,7 +31,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(repr(tuple(r[c] for c in columns)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["pw_abs_log_clip_cast"])
+@pytest.mark.parametrize("name", ["pw_abs_log_clip_cast", "factor_pipeline"])
 def test_zero_prices_equal_the_sql(spark, tmp_path, name):
     """Zeros first, last and alone in an hour, and alone in a day."""
     c = duckdb.connect()

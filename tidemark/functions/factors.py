@@ -128,10 +128,12 @@ class Cross:
     kind: str
     column: str
     output: str
+    nulls_last: bool = False
 
 
-def cs_rank(column: str, output: str) -> Cross:
-    return Cross("RANK", column, output)
+def cs_rank(column: str, output: str, nulls_last: bool = False) -> Cross:
+    """Invalid values have no rank; with ``nulls_last`` they are one tie after all others."""
+    return Cross("RANK", column, output, nulls_last)
 
 
 def cs_zscore(column: str, output: str) -> Cross:
