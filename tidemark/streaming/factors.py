@@ -20,8 +20,12 @@ from tidemark.functions.factors import Cross, Factor
 from tidemark.functions.values import SENTINEL
 from tidemark.operators.bars import MINUTE, Profile, bars
 from tidemark.operators.cross_section import cross_section
+from tidemark.session import ship
+from tidemark.streaming.ordered import in_order
 
 ROLLING = ("TS_MEAN", "TS_STD", "TS_DELAY", "TS_DIFF", "TS_RETURN")
+#: windows of more values have running deviations
+DIRECT = 256
 
 
 def _rolled(kind: str, values: pd.Series, n: int) -> pd.Series:
@@ -29,7 +33,11 @@ def _rolled(kind: str, values: pd.Series, n: int) -> pd.Series:
     if kind == "TS_MEAN":
         return values.rolling(n).mean()
     if kind == "TS_STD":
-        return values.rolling(n).std(ddof=0)
+        if n > DIRECT or n > len(values):
+            return values.rolling(n).std(ddof=0)
+        # each window by itself: a running deviation drifts with the rows before, which shows in the sixth place
+        own = np.lib.stride_tricks.sliding_window_view(values.to_numpy(), n).std(axis=1)
+        return pd.Series(np.append(np.full(n - 1, np.nan), own))
     before = values.shift(n)
     if kind == "TS_DELAY":
         return before
@@ -45,34 +53,39 @@ def rolling(df: DataFrame, id_column: str, factor: Factor, order_by: Sequence[st
     order within and over micro-batches."""
     if factor.kind not in ROLLING:
         raise ValueError(f"{factor.kind} is not a rolling factor")
+    ship(df.sparkSession)
     keep = factor.size - 1 if factor.kind in ("TS_MEAN", "TS_STD") else factor.size
     names = list(df.columns)
     schema = T.StructType([*df.schema.fields, T.StructField(factor.output, T.DoubleType())])
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(list(order_by), kind="stable")
-        x = rows[factor.column].astype("float64")
-        ok = np.isfinite(x) & (x.abs() < SENTINEL)
-        values = pd.Series([*held, *x[ok]], dtype="float64")
-        out = pd.Series(np.nan, index=rows.index, dtype="float64")
-        out[ok] = _rolled(factor.kind, values, factor.size).to_numpy()[len(held) :]
-        state.update((values.tail(keep).tolist() if keep else [],))
-        yield rows[names].assign(**{factor.output: out.astype(object).where(out.notna(), None)})
+        held = np.array(state.get[0] if state.exists else [], "float64")
+        for rows in in_order(frames, order_by):
+            x = rows[factor.column].astype("float64")
+            ok = np.isfinite(x) & (x.abs() < SENTINEL)
+            values = pd.Series(np.append(held, x[ok]))
+            out = pd.Series(np.nan, index=rows.index, dtype="float64")
+            out[ok] = _rolled(factor.kind, values, factor.size).to_numpy()[len(held) :]
+            held = values.tail(keep).to_numpy() if keep else held
+            yield rows[names].assign(**{factor.output: out.astype(object).where(out.notna(), None)})
+        state.update((held.tolist(),))
 
     return df.groupBy(id_column).applyInPandasWithState(run, schema, "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def accepted(df: DataFrame, id_column: str, dt_column: str, order_by: Sequence[str]) -> DataFrame:
     """Rows not older than the latest accepted one of their instrument, over the whole stream; late ones are dropped."""
+    ship(df.sparkSession)
     names = list(df.columns)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(list(order_by), kind="stable")
-        at = rows[dt_column].to_numpy("datetime64[us]").astype("int64")
-        seen = np.maximum.accumulate(np.append(state.get[0] if state.exists else np.iinfo("int64").min, at))
-        state.update((int(seen[-1]),))
-        yield rows[names][at >= seen[:-1]]
+        newest = state.get[0] if state.exists else np.iinfo("int64").min
+        for rows in in_order(frames, order_by):
+            at = rows[dt_column].to_numpy("datetime64[us]").astype("int64")
+            seen = np.maximum.accumulate(np.append(newest, at))
+            newest = seen[-1]
+            yield rows[names][at >= seen[:-1]]
+        state.update((int(newest),))
 
     return df.groupBy(id_column).applyInPandasWithState(run, df.schema, "seen bigint", "append", GroupStateTimeout.NoTimeout)
 

@@ -20,7 +20,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.factors import Agg, ts_mean
+from tidemark.session import ship
 from tidemark.streaming.factors import rolling
+from tidemark.streaming.ordered import in_order
 
 
 def source(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -37,16 +39,18 @@ def timeseries(df: DataFrame, id_column: str, dt_column: str, window: str, aggs:
 
 
 def stateful_ema(df: DataFrame, id_column: str, value: str, span: int, order_by: Sequence[str], output: str) -> DataFrame:
+    ship(df.sparkSession)
     names, alpha = list(df.columns), 2.0 / (span + 1)
     schema = T.StructType([*df.schema.fields, T.StructField(output, T.DoubleType())])
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(list(order_by), kind="stable")
-        x = rows[value].astype("float64").to_numpy()
         held = [state.get[0]] if state.exists and state.get[0] is not None else []
-        out = pd.Series([*held, *x]).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[len(held) :]
-        state.update((None if np.isnan(out[-1]) else float(out[-1]),))
-        yield rows[names].assign(**{output: pd.Series(np.where(np.isnan(x), None, out), index=rows.index)})
+        for rows in in_order(frames, order_by):
+            x = rows[value].astype("float64").to_numpy()
+            out = pd.Series(np.append(held, x)).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[len(held) :]
+            held = [] if np.isnan(out[-1]) else [float(out[-1])]
+            yield rows[names].assign(**{output: pd.Series(np.where(np.isnan(x), None, out), index=rows.index)})
+        state.update((held[0] if held else None,))
 
     return df.groupBy(id_column).applyInPandasWithState(run, schema, "y double", "append", GroupStateTimeout.NoTimeout)
 
