@@ -113,6 +113,20 @@ def test_latest_and_changelog(spark):
         latest(df.withColumn("k", F.when(F.col("seq") > 0, F.col("k"))), ["k"], ["seq"]).collect()
 
 
+def test_latest_rows_of_fixed_width_are_not_sorted(spark):
+    """Whole rows, also with equal, null and NaN orders and null values; a column of text still works."""
+    table = [("b", 1.0, 1, 5.0), ("a", 2.0, None, None), ("b", None, 3, float("nan")), ("a", 4.0, 2, None), ("c", None, None, None), ("d", 1.0, 7, 1.0), ("d", 2.0, 7, 2.0), ("d", 3.0, 6, 9.0)]
+    df = spark.createDataFrame(table, "k string, v double, n long, w double").repartition(3)
+    out = latest(df, ["k"], ["n"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    got = {r.k: tuple(r) for r in out.collect()}
+    assert repr(got["b"]) == "('b', None, 3, nan)" and got["a"] == ("a", 4.0, 2, None) and got["c"] == ("c", None, None, None)
+    assert got["d"] in [("d", 1.0, 7, 1.0), ("d", 2.0, 7, 2.0)] and len(got) == 4
+    assert {r.k: r.v for r in latest(df, ["k"], ["w"]).collect()}["b"] is None
+    assert {r.k: r.t for r in latest(df.withColumn("t", F.concat("k", F.lit("!"))), ["k"], ["n"]).collect()} == {k: f"{k}!" for k in "abcd"}
+
+
 def test_shards(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 50).cast("double").alias("k"))
     out = shard(df, ["k"], 8)

@@ -22,9 +22,25 @@ def _keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.where(F.when(none, fail("null key", "boolean")).otherwise(F.lit(True)))
 
 
+#: types that a hash aggregate can hold; with others Spark sorts a task's rows by key first
+_FIXED = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
+
+
 def latest(df: DataFrame, by: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """The last row of each key. An aggregate, so one row a key and task is shuffled; a null key fails."""
-    rows = _keys(df, by)
+    """The last row of each key. An aggregate, so one row a key and task is shuffled; a null key fails.
+
+    With one order column and, but for keys of text, columns of fixed width a task holds one row a key in a hash table. All
+    columns come from one row then too, in ties as well: their aggregates see the same rows in the same order.
+    """
+    rows, kinds = _keys(df, by), dict(df.dtypes)
+    text = [k for k in by if kinds[k] == "string"]
+    if len(order_by) == 1 and len(kinds) == len(df.columns) and order_by[0] not in text and all(kinds[c] in _FIXED for c in df.columns if c not in text):
+        order = F.col(f"`{order_by[0]}`")
+        found = rows.groupBy(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(by)]).agg(
+            F.count(order).alias("_n"), *[a for i, c in enumerate(df.columns) if c not in text for a in (F.max_by(f"`{c}`", order).alias(f"_v{i}"), F.first(f"`{c}`").alias(f"_f{i}"))]
+        )
+        # an order that is null in all rows of a key: any row is the last
+        return found.select(*[(F.col(f"_k{by.index(c)}") if c in text else F.when(F.col("_n") > 0, F.col(f"_v{i}")).otherwise(F.col(f"_f{i}"))).alias(c) for i, c in enumerate(df.columns)])
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     last = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]).agg(F.max_by(whole, F.struct(*order_by)).alias("_row"))
     return last.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns])
