@@ -151,6 +151,36 @@ def test_mixing_many_sources_and_hot_rows(spark):
         assert len({s for own in by_slot.values() if len(own) > 1 for s in own}) > 30
 
 
+@pytest.mark.parametrize("weights", [None, {f"s{i}": 0.001 * 10 ** (i % 6) for i in range(0, 330, 2)}, {}])
+def test_mixing_any_number_of_sources_keeps_each_within_a_block(spark, weights):
+    """331 sources, more than the driver plans for: each has blocks of its own and at any slot its exact share."""
+    sizes = {**{f"s{i}": 1 + i * 7919 % 37 for i in range(330)}, None: 50}
+    table = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.scheduled(spark.createDataFrame(table, "doc_id long, source string").repartition(3), weights, block_docs=3).collect()
+    assert sorted((r.doc_id, r.source) for r in got) == table
+    owner = {}
+    for r in got:
+        assert owner.setdefault(r.slot, (r.source, r.block)) == (r.source, r.block)
+    blocks = {s: -(-n // 3) for s, n in sizes.items()}
+    assert sorted(owner) == list(range(sum(blocks.values()))) and len({(r.slot, r.place) for r in got}) == len(table)
+    rates = {s: n**mixing.POWER if weights is None else weights.get(s, 0) for s, n in sizes.items()}
+    slot = 0
+    for tier in ({s: r for s, r in rates.items() if r > 0}, {s: 1.0 for s, r in rates.items() if not r}):
+        had = dict.fromkeys(tier, 0)
+        share = lambda v, tier=tier: {s: min(r * v, blocks[s]) for s, r in tier.items()}
+        for k in range(1, sum(blocks[s] for s in tier) + 1):
+            s, block = owner[slot]
+            assert block == had[s]
+            had[s], slot = had[s] + 1, slot + 1
+            if k % 7:
+                continue
+            low, high = 0.0, max(blocks[s] / r for s, r in tier.items())
+            for _ in range(100):
+                mid = (low + high) / 2
+                low, high = (mid, high) if sum(share(mid).values()) < k else (low, mid)
+            assert all(abs(had[s] - x) < 1 + 1e-5 for s, x in share(high).items())
+
+
 def test_html(spark):
     menu, foot = "<div><a href='/a'>Alpha</a> <span>Beta</span></div>", "<p>Imprint of the house</p>"
     body = lambda i: f"<html><head><title>t</title><style>p{{}}</style></head><body>{menu}<div><p>Own text {i} &amp; more &lt;b&gt;<b> bold<br>line</p><p>Second\n of {i}</div>{foot}<script>if(a<b){{'</p>'}}</script></body></html>"
