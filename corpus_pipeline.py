@@ -44,7 +44,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    out = bpe.encoded(docs.select(F.struct("doc_id", "slot", "place").alias("doc_id"), "text"), vocabulary("word_bpe_49k.json"))
+    out = bpe.encoded(docs.select(F.struct("doc_id", "slot", "place").alias("doc_id"), "text"), vocabulary("word_bpe_49k.json"), decode=False)
     return out.select("doc_id.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "doc_id.slot", "doc_id.place")
 
 

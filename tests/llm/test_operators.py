@@ -80,6 +80,42 @@ def test_bpe_many_chunks_and_bounded_store():
     assert e.reused > e.fresh > 0
 
 
+@pytest.mark.parametrize(("n", "tail", "most"), [(5000, "xy", 22 << 20), (60, "xy" * 4000, 24 << 20)])
+def test_bpe_stores_are_bounded_in_bytes(n, tail, most):
+    import tracemalloc
+
+    import tokenizers  # noqa: F401  (its code isn't counted)
+
+    tracemalloc.start()
+    e = bpe.Encoder(queries.vocabulary("word_bpe_49k.json"))
+    for k in range(40):
+        ws = [f"{k}-{i}-{tail}".encode() for i in range(n)]
+        first = e.inner([ws])
+        assert first == e.inner([ws])  # as kept
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < most
+
+
+def test_bpe_cuts_take_memory_by_slices(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    data, offs = rng.choice(np.frombuffer("ab cé\n".encode(), np.uint8), 1 << 22), np.array([0, 10, 70_000, 70_000, 1 << 22])
+    tracemalloc.start()
+    got = bpe.cuts(data, offs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    for size in (4099, 1 << 30):
+        monkeypatch.setattr(bpe, "SLICE", size)
+        assert bpe.cuts(data, offs) == got
+    few, ends = data[:2000], np.array([0, 10, 2000])
+    whole = bpe.cuts(few, ends)
+    monkeypatch.setattr(bpe, "SLICE", 1)
+    assert bpe.cuts(few, ends) == whole
+
+
 def test_mixing(spark, docs, none):
     got = mixing.scheduled(docs, block_docs=2).collect()
     assert len(got) == len(rows())

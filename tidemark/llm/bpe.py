@@ -9,6 +9,9 @@ piece. White space is where every encoding agrees with that of the whole text (t
 normaliser maps it to one space, its splits never cross it, nothing composes with it), so the piece is
 grown over as many chunks as it takes to reach white space on both sides, and the result is exact.
 New inner parts are looked up word by word in a second bounded store before the tokenizer is called.
+Both stores are bounded in bytes: a short word and its ids are one object at one of a fixed number of places,
+chunks and long words have a room each. What is worked on at once is bounded too (``block`` bytes of text, hashed
+by slices), a single longer text aside.
 
 Only the bytes of texts count: no shuffle, nothing broadcast. The tokenizer file is a parameter and
 read once a process; executors must have it at that path.
@@ -35,15 +38,23 @@ MASK = np.uint64((1 << 10) - 1)
 LEAST = 256
 ROLL = 16
 LONG = 1 << 14
+SLICE = 1 << 16
+#: bytes of words that have places of their own
+SHORT = 24
+#: bytes of what a store holds newly, by estimate; as much again may be older
+WORD_ROOM = 8 << 20
+CHUNK_ROOM = 12 << 20
+#: bytes that an entry takes besides its own: two objects' heads and a place in a dict
+ENTRY = 150
 
 _state: dict = {}
 
 
 class Store:
-    """What was put last, between ``size`` and twice as many entries; none has a key of over ``LONG`` bytes."""
+    """What was put last: up to twice ``size`` entries of twice ``room`` bytes; none has a key of over ``LONG`` bytes."""
 
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
+    def __init__(self, size: int, room: int):
+        self.size, self.room, self.used, self.new, self.old = size, room, 0, {}, {}
 
     def get(self, key):
         got = self.new.get(key)
@@ -52,14 +63,38 @@ class Store:
         return got
 
     def put(self, key, value) -> None:
-        if len(self.new) >= self.size:
-            self.old, self.new = self.new, {}
-        if len(key) <= LONG:
-            self.new[key] = value
+        if len(key) > LONG:
+            return
+        takes = ENTRY + len(key) + (len(value) if isinstance(value, bytes) else sum(len(x) for x in value if x))
+        if self.new and (len(self.new) >= self.size or self.used + takes > self.room):
+            self.old, self.new, self.used = self.new, {}, 0
+        self.new[key] = value
+        self.used += takes
+
+
+class Words:
+    """Ids of words. A short word's stand behind it and a space (which no word has) at the place that its hash gives;
+    there the word put last stays."""
+
+    def __init__(self, size: int):
+        self.size, self.places, self.long = size, [b""] * size, Store(size, WORD_ROOM)
+
+    def get(self, word: bytes):
+        n = len(word)
+        if n > SHORT:
+            return self.long.get(word)
+        x = self.places[hash(word) % self.size]
+        return x[n + 1 :] if x.startswith(word) and x[n : n + 1] == b" " else None
+
+    def put(self, word: bytes, ids: bytes) -> None:
+        if len(word) > SHORT:
+            self.long.put(word, ids)
+        else:
+            self.places[hash(word) % self.size] = b"%b %b" % (word, ids)
 
 
 class Encoder:
-    def __init__(self, path: str, words: int = 400_000, chunks: int = 2_000):
+    def __init__(self, path: str, words: int = 1 << 19, chunks: int = 2_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -72,7 +107,7 @@ class Encoder:
         self.between_id, self.between = special[0] if special else (None, None)
         # a word with the special token's first or last character may run together with it
         self.mark = self.between.encode()[:1] if special else b""
-        self.words, self.chunks = Store(words), Store(chunks)
+        self.words, self.chunks = Words(words), Store(chunks, CHUNK_ROOM)
         self.reused = self.fresh = 0
 
     def coded(self, ids: list[int]) -> bytes:
@@ -164,18 +199,7 @@ def cuts(data: np.ndarray, offs: np.ndarray) -> list[list[tuple[int, int]]]:
     """Chunk ranges of each text: a cut stands before a character where the hash of the 16 bytes
     before it has ten low bits of zero, at least ``LEAST`` bytes after the last."""
     n = len(data)
-    if n > ROLL:
-        h = data.astype(np.uint64) + np.uint64(1)
-        step, width = int(W.BASE), 1
-        while width < ROLL:
-            h[width:] = h[width:] + np.uint64(pow(step, width, 1 << 64)) * h[:-width].copy()
-            width *= 2
-        hit = (W.mix(h) & MASK) == 0
-        hit[:-1] &= (data[1:] & 0xC0) != 0x80
-        at = np.flatnonzero(hit) + 1
-    else:
-        at = np.zeros(0, np.int64)
-    out = []
+    at, out = np.concatenate([np.zeros(0, np.int64), *(_hits(data, lo) for lo in range(0, n if n > ROLL else 0, SLICE))]), []
     for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
         own, last = [], a
         lo, hi = np.searchsorted(at, [a + LEAST, z])
@@ -189,13 +213,27 @@ def cuts(data: np.ndarray, offs: np.ndarray) -> list[list[tuple[int, int]]]:
     return out
 
 
+def _hits(data: np.ndarray, lo: int) -> np.ndarray:
+    """Places of cuts after the bytes of the slice from ``lo`` on, which is hashed with what stands before it."""
+    first, end = max(0, lo - ROLL + 1), min(lo + SLICE, len(data))
+    h = data[first:end].astype(np.uint64) + np.uint64(1)
+    step, width = int(W.BASE), 1
+    while width < ROLL:
+        h[width:] = h[width:] + np.uint64(pow(step, width, 1 << 64)) * h[:-width].copy()
+        width *= 2
+    hit = (W.mix(h[lo - first :]) & MASK) == 0
+    after = data[lo + 1 : end + 1]
+    hit[: len(after)] &= (after & 0xC0) != 0x80
+    return np.flatnonzero(hit) + lo + 1
+
+
 def encoder(path: str) -> Encoder:
     if path not in _state:
         _state[path] = Encoder(path)
     return _state[path]
 
 
-def _texts(path: str, block: int):
+def _texts(path: str, block: int, decode: bool = True):
     @W.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
@@ -206,15 +244,16 @@ def _texts(path: str, block: int):
                 coded = e.block(own.tobytes(), cuts(own, o))
                 at = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), lists, e.decoded(lists)], ["doc_id", "ids", "decoded"])
+                out = {"doc_id": batch.column(0).slice(a, z - a), "ids": lists} | ({"decoded": e.decoded(lists)} if decode else {})
+                yield pa.RecordBatch.from_arrays([*out.values()], [*out])
 
     return run
 
 
-def encoded(docs: DataFrame, path: str, block: int = 8 * W.BLOCK_BYTES) -> DataFrame:
-    """doc_id, ids and decoded (the text that decoding the ids gives) of every row."""
+def encoded(docs: DataFrame, path: str, block: int = W.BLOCK_BYTES, decode: bool = True) -> DataFrame:
+    """doc_id, ids and, with ``decode``, decoded (the text that decoding the ids gives) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text")).mapInArrow(_texts(path, block), f"doc_id {kind}, ids array<int>, decoded string")
+    return docs.select("doc_id", F.col("text")).mapInArrow(_texts(path, block, decode), f"doc_id {kind}, ids array<int>" + ", decoded string" * decode)
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
